@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillspark.llm import harvest_queries, memo_queries
+from quillspark.llm import harvest_queries, memo_queries, survivor_queries
 
-_MODULES = [harvest_queries, memo_queries]
+_MODULES = [harvest_queries, memo_queries, survivor_queries]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in getattr(m, "ORACLES", {}).items()}
