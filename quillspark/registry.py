@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.operators import timestamp_queries
+from quillspark.operators import memory, metrics, runs, texts, timestamp_queries
+from quillspark.streaming import streams
 
-QUERIES = dict(timestamp_queries.QUERIES)
-ORACLES: dict[str, str] = {}
+_MODULES = [metrics, runs, memory, texts, streams, timestamp_queries]
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in getattr(m, "ORACLES", {}).items()}
