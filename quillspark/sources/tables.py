@@ -24,3 +24,14 @@ def latest_rows(df: DataFrame, key: str, by: str) -> DataFrame:
     plain = [c for c, t in df.dtypes if not t.startswith("map")]
     w = Window.partitionBy(key).orderBy(F.col(by).desc_nulls_last(), F.xxhash64(*plain).desc())
     return df.filter(F.col(key).isNotNull()).withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+
+
+def hash_sample(df: DataFrame, key: Column, about: int) -> DataFrame:
+    """About `about` rows of df, at most twice as many: the same ones on every run, whatever the partitioning.
+
+    The rows are filtered where they are read, so that no task sends more than its share; the limit only guards the bound.
+    """
+    n = df.count()
+    if n <= about:
+        return df
+    return df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * about / n)).limit(2 * about)

@@ -12,8 +12,8 @@ from quillspark.plans.session import shared_dir
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the pipeline as a stream of files."""
-    path = f"{sf_dir}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
