@@ -125,8 +125,9 @@ def split_text(text: str, limit: int, overlap: int, tokenizer: str | None = TOKE
             if n > limit and b - a > 1:
                 # cut alone, a span may take a few tokens more than inside the text: give way at the overlap first
                 while n > limit and back < a:
-                    back = place[min(len(place) - 1, bisect_left(place, back) + n - limit)] if bisect_left(place, back) + n - limit < len(place) else a
-                    back = min(back, a)
+                    k_ = bisect_left(place, back) + n - limit
+                    later = place[k_] if k_ < len(place) else a
+                    back = min(later, a) if later > back else a  # tokens of one character share its place
                     n = count(text[back:b], tokenizer)
                 worst = max(worst, n - limit)
             out.append((back, a, b, n))

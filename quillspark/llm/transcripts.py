@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.boosting import BoostedTrees
+from quillspark.sources.tables import hash_sample
 
 #: Transcripts that the models are fitted on at most; everything else covers all of them.
 TRAIN_TRANSCRIPTS = 1500
@@ -315,8 +316,8 @@ def turns(t: Transcript, boundary: np.ndarray, fillers: frozenset[str]) -> list[
 
 def training_sample(items: DataFrame, text_col: str, at_most: int = TRAIN_TRANSCRIPTS) -> list[str]:
     """At most `at_most` transcripts, chosen by a hash of their text, the same ones on every run."""
-    some = items.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).orderBy(F.xxhash64("text")).limit(at_most)
-    return [r.text for r in some.collect()]
+    some = hash_sample(items.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")), F.col("text"), at_most // 2)
+    return sorted(r.text for r in some.collect())
 
 
 def speaker_turns(items: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
