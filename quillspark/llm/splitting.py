@@ -8,7 +8,7 @@ above the limit is descended into. Every piece but the first begins with the giv
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -126,8 +126,8 @@ def split_text(text: str, limit: int, overlap: int, tokenizer: str | None = TOKE
                 # cut alone, a span may take a few tokens more than inside the text: give way at the overlap first
                 while n > limit and back < a:
                     k_ = bisect_left(place, back) + n - limit
-                    later = place[k_] if k_ < len(place) else a
-                    back = min(later, a) if later > back else a  # tokens of one character share its place
+                    k_ = max(k_, bisect_right(place, back))  # tokens of one character share its place
+                    back = min(place[k_], a) if k_ < len(place) else a
                     n = count(text[back:b], tokenizer)
                 worst = max(worst, n - limit)
             out.append((back, a, b, n))
