@@ -12,7 +12,7 @@ from quillspark.functions.moments import stamp_of, tolerant
 
 RUN = "started_at string, ended_at string, ok boolean, scheduler string, phase string, error string, cutoff string, sources map<string, struct<new: int, errors: array<string>>>"
 THREAD = "channel string, thread_ts string, messages array<struct<type: string, user: string, ts: string, text: string>>"
-EVENT = "ts string, session_id string, event string, duration_ms double, data string, _corrupt string"
+EVENT = "ts string, session_id string, event string, duration_ms double, data string"
 ACCURACY = ["art_id", "candidate_kind", "pred_mode", "predicted_action", "predicted_scope", "predicted_confidence", "predicted_reasoning", "user_action", "user_scope", "action_agreed", "scope_agreed", "notes", "scope_source"]
 #: Sources of text drops and the extensions that they take.
 FOLDERS = {"granola": ["md", "txt", "rtf"], "gmeet": ["vtt", "txt"], "transcripts": ["vtt", "srt", "txt"]}
@@ -70,9 +70,10 @@ def front_matter(files: DataFrame, strict: bool = False) -> DataFrame:
 
 def event_log(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
     """Events of the day files events-YYYY-MM-DD.jsonl whose names lie in [start, end]; broken and blank lines are skipped."""
-    e = spark.read.schema(EVENT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "events-*.jsonl").json(path)
-    e = e.withColumn("day", F.regexp_extract(F.col("_metadata.file_name"), r"events-(\d{4}-\d{2}-\d{2})", 1).try_cast("date"))
-    return e.filter(F.col("day").between(start, end)).filter("_corrupt is null").drop("_corrupt")
+    lines = spark.read.option("pathGlobFilter", "events-*.jsonl").text(path).select("value", F.col("_metadata.file_name").alias("name"))
+    day = F.regexp_extract("name", r"events-(\d{4}-\d{2}-\d{2})", 1).try_cast("date")
+    good = F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{")
+    return lines.withColumn("day", day).filter(F.col("day").between(start, end) & good).select("day", F.from_json("value", EVENT).alias("e")).select("day", "e.*")
 
 
 def run_states(spark: SparkSession, path: str) -> DataFrame:

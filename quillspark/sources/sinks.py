@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import tsv_safe
+from quillspark.plans.session import materialise
 
 EVENT_BYTES = 4000
 # Keys of event data that name persons or texts and are never written.
@@ -36,9 +37,10 @@ def harvest(items: DataFrame, state_path: str, raw_path: str, spark: SparkSessio
     except Exception as e:  # no state yet
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
             raise
+    one = materialise(one, "harvest")
     if not dry_run:
         one.write.mode("append").parquet(raw_path)
-        spark.read.parquet(raw_path).select("dedupe_key").distinct().write.mode("overwrite").parquet(state_path)
+        one.select("dedupe_key").write.mode("append").parquet(state_path)
     return one
 
 
