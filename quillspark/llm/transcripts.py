@@ -162,7 +162,7 @@ def parse(content: str) -> Transcript:
         else:
             open_label.text = f"{open_label.text}\n{s}".strip(" ")
     for g in out.segments:
-        if not g.certain and (m := (_DASHED if g.timed else _LABELLED).match(g.text.split("\n")[0])) and not _REMARK.fullmatch(m[1]):
+        if not g.certain and (m := (_DASHED if g.timed else _LABELLED).match(g.text.split("\n")[0])) and not _REMARK.fullmatch(m[1]) and not re.search(r"[.!?;]\s", m[1]):
             g.label = m[1]
     timed = [g for g in out.segments if g.start is not None]
     if timed:
@@ -207,7 +207,8 @@ def features(t: Transcript, odds: np.ndarray) -> np.ndarray:
             out[i, 8] = names[i] != last
         if before is not None and g.start is not None and before.start is not None:
             out[i, 9] = min(60.0, g.start - (before.end if before.end is not None else before.start))
-        out[i, 10] = (not before or bool(_SENTENCE_END.search(before.text))) + 2 * rest[:1].islower()
+        said = _REMARK.sub(" ", before.text).rstrip() if before is not None else ""
+        out[i, 10] = (not said or bool(_SENTENCE_END.search(said))) + 2 * rest[:1].islower()
         out[i, 11] = certain
         last = names[i] or last
     return out
