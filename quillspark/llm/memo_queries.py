@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.near_duplicates import groups, near_pairs
+from quillspark.llm.near_duplicates import best_match_clusters, groups, near_pairs
 from quillspark.operators.timestamps import utc_micros
 from quillspark.plans.session import materialise
 from quillspark.sources.tables import latest_rows, table
@@ -25,4 +25,9 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups(materialise(near_pairs(rows).select("memo_a", "memo_b").distinct(), "p5-pairs"), rows)
 
 
-QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups}
+def st1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    rows = materialise(memo_rows(spark, d), "st1-rows")
+    return best_match_clusters(materialise(near_pairs(rows).select("memo_a", "memo_b", "score"), "st1-pairs"), rows)
+
+
+QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups, "st1_clusters": st1_clusters}

@@ -114,3 +114,21 @@ def groups(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     links = ends.groupBy("node").agg(F.count("*").alias("n_links"))
     r = rows.select("id").filter("id is not null").distinct().join(cc.join(links, "node"), F.col("id") == F.col("node"), "left")
     return r.select("id", F.coalesce("component", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def best_match_clusters(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Incremental clusters: each arriving row joins the cluster of its single best match among the rows before it, or founds one.
+
+    pairs: (memo_a, memo_b, score); rows: (id, t), arriving in order of t, then id; rows without time arrive first. Ties go to
+    the smaller id. A row's best match doesn't depend on the clusters, so all rows choose at once and clusters are the
+    trees of these choices: a row that could bridge two clusters joins one of them, unlike in connected components.
+    Gives (id, cluster_id, n_members), cluster_id being the founder's id.
+    """
+    r = rows.filter("id is not null").groupBy("id").agg(F.min(F.struct(F.coalesce("t", F.lit(-(2**62))).alias("t"), "id")).alias("ord"))
+    both = pairs.select(F.col("memo_a").alias("id"), F.col("memo_b").alias("other"), "score").unionByName(pairs.select(F.col("memo_b").alias("id"), F.col("memo_a").alias("other"), "score"))
+    seen = both.join(r, "id").join(r.select(F.col("id").alias("other"), F.col("ord").alias("other_ord")), "other").filter("other_ord < ord")
+    chosen = seen.groupBy("id").agg(F.min_by("other", F.struct(-F.col("score"), "other")).alias("other"))
+    cc = connected_components(materialise(chosen, "st1-chosen"), "id", "other")
+    m = r.join(cc.withColumnRenamed("node", "id"), "id", "left").withColumn("tree", F.coalesce("component", "id"))
+    heads = m.groupBy("tree").agg(F.min("ord").alias("head"), F.count("*").alias("n_members"))
+    return m.join(heads, "tree").select("id", F.col("head.id").alias("cluster_id"), "n_members")

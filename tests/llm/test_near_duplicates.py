@@ -3,7 +3,7 @@ from math import sqrt
 
 import numpy as np
 
-from quillspark.llm.near_duplicates import DAY, groups, near_pairs
+from quillspark.llm.near_duplicates import DAY, best_match_clusters, groups, near_pairs
 from quillspark.llm.sketch import joint_jaccard, registers
 
 
@@ -43,3 +43,22 @@ def test_sketch_estimates():
     assert abs(est - 0.6) < 0.08
     union = registers([np.union1d(a, b)], [np.ones(len(np.union1d(a, b)), dtype=int)], 512)
     assert (np.maximum(r[0], r[1]) == union[0]).all() and not r[2].any()
+
+
+def test_incremental_clusters_against_a_fold(spark):
+    rng = random.Random(8)
+    ids = [f"m{k:02d}" for k in range(40)]
+    rows = [(i, rng.randrange(30) if rng.random() < 0.9 else None) for i in ids]
+    pairs = {}
+    for _ in range(60):
+        a, b = sorted(rng.sample(ids, 2))
+        pairs[a, b] = rng.choice([0.8, 0.85, 0.9, 0.95])
+    order = sorted(ids, key=lambda i: (dict(rows)[i] is not None, dict(rows)[i] or 0, i))
+    cluster = {}
+    for k, i in enumerate(order):
+        best = [(-pairs[tuple(sorted((i, o)))], o) for o in order[:k] if tuple(sorted((i, o))) in pairs]
+        cluster[i] = cluster[min(best)[1]] if best else i
+    df = spark.createDataFrame([(a, b, s) for (a, b), s in pairs.items()], "memo_a string, memo_b string, score double")
+    got = best_match_clusters(df, spark.createDataFrame(rows, "id string, t long")).collect()
+    assert {r["id"]: r.cluster_id for r in got} == cluster
+    assert all(r.n_members == list(cluster.values()).count(r.cluster_id) for r in got)
