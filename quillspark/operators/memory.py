@@ -31,7 +31,7 @@ def expiry_state(m: DataFrame, now: Column) -> Column:
     return F.when(~expired, "not_expired").when(F.coalesce("expiry_locked", F.lit(False)), "locked").otherwise("moved")
 
 
-def p3_expiry(spark: SparkSession, d: str) -> DataFrame:
+def m7_expiry(spark: SparkSession, d: str) -> DataFrame:
     now = F.lit(AS_OF).cast("timestamp")
     m = memos(spark, d)
     return m.groupBy("source", expiry_state(m, now).alias("state")).agg(F.count("*").alias("n"), F.sum(text.estimated_tokens(F.col("body"))).alias("tokens"))
@@ -131,7 +131,7 @@ def a13_memo_age(spark: SparkSession, d: str) -> DataFrame:
     return m.select(F.when(made.isNotNull(), "created_at").otherwise("modified_at").alias("age_source"), age.alias("age")).groupBy("age_source").agg(F.count("*").alias("n"), F.expr("percentile(age, 0.5)").alias("p50"), F.expr("percentile(age, 0.95)").alias("p95"))
 
 
-def p12_grounded(spark: SparkSession, d: str) -> DataFrame:
+def v_grounded(spark: SparkSession, d: str) -> DataFrame:
     """Per kind, memos whose summary, ten characters at least, stands in their body but for case and blanks."""
     m = memos(spark, d).select("kind", text.folded(F.col("summary")).alias("s"), text.folded(F.col("body")).alias("b"))
     ok = (F.length("s") >= 10) & F.contains("b", F.col("s"))
@@ -178,7 +178,7 @@ def a27_agreement(spark: SparkSession, d: str) -> DataFrame:
     return g.select(F.col("level").cast("int").alias("level"), "kind", "provenance", "n", rate.alias("rate"), (F.col("n") < 10).alias("few"))
 
 
-QUERIES = {f.__name__: f for f in (p3_expiry, a21_inventory, j12_keep_days, a22_tag_index, a23_phrases, w3_canonical, j11_authority, v_memo_violations, a31_repeated_ids, t1_retrieval, a13_memo_age, p12_grounded, w9_budget_pack, a12_by_source, a34_over_budget, a27_agreement)}
+QUERIES = {f.__name__: f for f in (m7_expiry, a21_inventory, j12_keep_days, a22_tag_index, a23_phrases, w3_canonical, j11_authority, v_memo_violations, a31_repeated_ids, t1_retrieval, a13_memo_age, v_grounded, w9_budget_pack, a12_by_source, a34_over_budget, a27_agreement)}
 
 _M = """with m as (select *, lower(trim(source_kind, ' ')) as source from (select *, row_number() over (partition by id order by modified_at desc) as rn from memos) where rn = 1)"""
 _EXP = "case when regexp_full_match(trim(expires_at), '\\d{4}-\\d{2}-\\d{2}([T ]\\d{2}:\\d{2}(:\\d{2}([.]\\d+)?)?(Z|[+-]\\d{2}:?\\d{2})?)?') then try_cast(trim(expires_at) as timestamptz) end"
@@ -187,7 +187,7 @@ _TOK = "(length(coalesce(body, '')) // 4)"
 _KEEP = ", ".join(f"('{k}', {'null' if v is None else v})" for k, v in KEEP_DAYS.items())
 _WORDS = "['what', 'decided', 'about', 'checkpoint', 'rollback', 'deployment']"
 ORACLES = {
-    "p3_expiry": _M + f""" select source, case when not coalesce({_EXP} < {_NOW}, false) then 'not_expired' when coalesce(expiry_locked, false) then 'locked' else 'moved' end as state, count(*) as n, sum({_TOK})::bigint as tokens from m group by 1, 2""",
+    "m7_expiry": _M + f""" select source, case when not coalesce({_EXP} < {_NOW}, false) then 'not_expired' when coalesce(expiry_locked, false) then 'locked' else 'moved' end as state, count(*) as n, sum({_TOK})::bigint as tokens from m group by 1, 2""",
     "a21_inventory": _M + f""", a as (select *, floor((epoch_us({_NOW}) - epoch_us(modified_at)) / 8.64e10) as days from m)
  select kind, case when days < 30 then '<30d' when days < 90 then '30-90d' when days < 180 then '90-180d' else '>180d' end as age, count(*) as n,
  count(*) filter (coalesce({_EXP} between {_NOW} and {_NOW} + interval 14 days, false)) as expiring, sum({_TOK})::bigint as tokens from a group by 1, 2""",
@@ -208,7 +208,7 @@ ORACLES = {
  s as (select id, modified_at, len(list_filter({_WORDS}, lambda w: contains(hay, w)))::int as relevance, canonical from h),
  r as (select *, (1 + relevance) * exp(-greatest(0.0, (epoch_us({_NOW}) - epoch_us(modified_at)) / 8.64e10) * 0.6931471805599453 / 90.0) * (case when not coalesce(canonical, true) then 0.85 else 1.0 end) as score from s)
  select id, relevance, round(score, 6) as score from r order by r.score desc, modified_at desc, id limit 12""",
-    "p12_grounded": _M + r""", f as (select kind, trim(regexp_replace(lower(summary), '\s+', ' ', 'g')) as s, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) as b from m)
+    "v_grounded": _M + r""", f as (select kind, trim(regexp_replace(lower(summary), '\s+', ' ', 'g')) as s, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) as b from m)
  select kind, count(*) as n, count(*) filter (length(s) >= 10 and contains(b, s)) as n_grounded from f group by 1""",
     "w9_budget_pack": _M + f""", t as (select source, id, modified_at, greatest(1, {_TOK})::bigint as tokens from m), r as (select *, sum(tokens) over (partition by source order by modified_at, id rows unbounded preceding)::bigint as running from t)
  select source, id, tokens, running from r where running <= 20000 or running = tokens""",
