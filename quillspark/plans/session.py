@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -46,12 +45,3 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def cpu_slots(spark: SparkSession) -> int:
-    """Cores that tasks may use at once; at least one."""
-    return max(1, spark.sparkContext.defaultParallelism)
-
-
-def on_cluster(path: str) -> bool:
-    return not path.startswith("file:") and not os.path.isdir(path)
