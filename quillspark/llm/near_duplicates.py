@@ -1,56 +1,101 @@
 """Problem 5: near-duplicate records judged by word counts and time.
 
-Equal word counts are folded into classes. A class gets SetSketch registers; bands of registers,
-together with a time cell, are the join keys. Candidates are estimated jointly by likelihood from
-their registers, and those that may reach the threshold are verified with the exact score.
+Equal word counts are folded into classes. All classes of a block are compared with all of another by one product of
+matrices whose columns are hashed words: as no entry is negative, words that share a column can only raise the product,
+so it bounds the cosine from above and no pair is lost, however skewed its counts. What passes is verified exactly.
 
 The score is cosine_weight x cosine + date_weight x max(0, 1 - days / window). Where the cosine part
-alone can't reach the threshold, the days between a pair are bounded, which bounds the time cells.
+alone can't reach the threshold, the days between a pair are bounded, so only blocks of one time cell
+and the next are compared. The work grows with the square of the classes in a time cell.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.sketch import joint_jaccard, registers
 from quillspark.plans.components import connected_components
 from quillspark.plans.session import materialise
 
 DAY = 86_400_000_000
-REGISTERS, BAND = 240, 5
-#: Registers estimate the Jaccard similarity with a deviation of at most 0.5 / sqrt(REGISTERS) = 0.032.
-#: A pair is verified if its estimate is no more than four deviations under the least similarity sought.
-LEAST_JACCARD, SLACK = 0.5, 0.13
+#: Columns and classes a block.
+NEAR = (2048, 2048)
+_ENTRY = np.dtype([("column", "<u2"), ("weight", "<f4")])
 
 
 @F.pandas_udf(T.BinaryType())
-def _sketch(hashes: pd.Series, counts: pd.Series) -> pd.Series:
-    regs = registers(list(hashes), list(counts), REGISTERS)
-    return pd.Series([r.tobytes() for r in regs])
-
+def _vector(hashes: pd.Series, counts: pd.Series) -> pd.Series:
+    """Hashed words with their weights in the vector of length one."""
+    out = []
+    for h, c in zip(hashes, counts):
+        c = np.asarray(c, dtype=np.float64)
+        v = np.empty(len(c), dtype=_ENTRY)
+        v["column"], v["weight"] = np.asarray(h, dtype=np.int64) & 0xFFFF, c / np.sqrt((c * c).sum())
+        out.append(v.tobytes())
+    return pd.Series(out)
+
+
+def _dense(vectors: pd.Series, width: int) -> np.ndarray:
+    flat = np.frombuffer(b"".join(vectors), dtype=_ENTRY)
+    row = np.repeat(np.arange(len(vectors)), [len(v) // _ENTRY.itemsize for v in vectors])
+    return np.bincount(row * width + flat["column"] % width, weights=flat["weight"], minlength=len(vectors) * width).astype(np.float32).reshape(-1, width)
+
+
+def _compare(width: int, least: float, slope: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Pairs of two blocks, or of one with itself, whose bound reaches least + slope x days between them."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        first, second = g[~g["second"]], g[g["second"]]
+        alone = g["step"].iloc[0] == 0 and g["i"].iloc[0] == g["j"].iloc[0]
+        if alone:
+            second = first
+        found = []
+        if len(first) and len(second):
+            x = _dense(first["vector"], width)
+            y = x if alone else _dense(second["vector"], width)
+            (ca, la, ha), (cb, lb, hb) = ((d["cls"].to_numpy(), d["lo"].to_numpy(), d["hi"].to_numpy()) for d in (first, second))
+            for s in range(0, len(x), 256):
+                bound = x[s : s + 256] @ y.T
+                a, b = np.nonzero(bound >= least - 1e-4)  # single precision
+                days = np.maximum(0, np.maximum(lb[b] - ha[a + s], la[a + s] - hb[b])) / DAY
+                ok = (bound[a, b] >= least + slope * days - 1e-4) & ((ca[a + s] < cb[b]) if alone else (ca[a + s] != cb[b]))
+                found.append(np.stack([ca[a + s][ok], cb[b][ok]]))
+        p = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
+        return pd.DataFrame({"a": p.min(axis=0), "b": p.max(axis=0)})
+
+    return run
+
+
+def _block_pairs(at: DataFrame, size: tuple[int, int], least: float, slope: float) -> DataFrame:
+    """(a, b), a < b: classes of `at` (cls, cell, lo, hi, vector) in one cell or neighbouring ones that may reach the bound.
+
+    A cell is dealt into blocks by its number of classes, so that a hot one is many tasks.
+    """
+    width, block = size
+    n = at.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("n"))
+    n = n.join(n.select((F.col("cell") - 1).alias("cell"), F.col("n").alias("after")), "cell", "left")
+    n = n.join(n.select((F.col("cell") + 1).alias("cell"), F.col("n").alias("before")), "cell", "left").fillna(0)
+    own = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("n"))
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _bands(regs: pd.Series) -> pd.Series:
-    r = np.frombuffer(b"".join(regs), dtype=np.uint16).reshape(len(regs), REGISTERS).astype(np.uint64)
-    n = REGISTERS // BAND
-    h = np.tile(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(r), 1))
-    for k in range(BAND):
-        h = (h ^ r[:, k::BAND]) * np.uint64(0x100000001B3)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-    return pd.Series(list(h.view(np.int64)))
+    def each(count: str, make: Callable) -> F.Column:
+        return F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(count) - 1), make)).otherwise(F.array().cast("array<struct<cell:bigint,i:bigint,step:int,j:bigint,second:boolean>>"))
 
+    def task(cell, i, step, j, second):
+        return F.struct(cell.alias("cell"), i.alias("i"), F.lit(step).alias("step"), j.alias("j"), second.alias("second"))
 
-@F.pandas_udf(T.DoubleType())
-def _estimate(ra: pd.Series, rb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-    if not len(ra):
-        return pd.Series([], dtype=float)
-    a, b = (np.frombuffer(b"".join(x), dtype=np.uint16).reshape(len(x), REGISTERS) for x in (ra, rb))
-    return pd.Series(joint_jaccard(a, b, na.to_numpy(float), nb.to_numpy(float)))
+    me, cell = F.col("own"), F.col("cell")
+    tasks = F.concat(
+        each("n", lambda j: task(cell, F.least(me, j), 0, F.greatest(me, j), j < me)),
+        each("after", lambda j: task(cell, me, 1, j, F.lit(False))),
+        each("before", lambda j: task(cell - 1, j, 1, me, F.lit(True))),
+    )
+    dealt = at.join(n, "cell").withColumn("own", own).select("cls", "lo", "hi", "vector", F.explode(tasks).alias("x")).select("cls", "lo", "hi", "vector", "x.*")
+    return dealt.groupBy("cell", "i", "step", "j").applyInPandas(_compare(width, least, slope), "a long, b long").distinct()
 
 
 def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,23 +121,12 @@ def near_pairs(rows: DataFrame, threshold: float = 0.8, cosine_weight: float = 0
     members, classes = _classes(valid)
     members = materialise(members.withColumn("cell", F.expr(f"t div {reach} - if(t < 0, 1, 0)")), "p5-members")
     hashes, counts = F.transform("entries", lambda e: F.xxhash64(e["key"])), F.transform("entries", lambda e: e["value"])
-    classes = classes.withColumn("regs", _sketch(hashes, counts))
-    classes = classes.withColumn("size", F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x))
-    classes = materialise(classes, "p5-classes")
-    at = members.select("cls", "cell").distinct()
-    keys = classes.select("cls", F.explode(_bands("regs")).alias("band"))
-    keyed = keys.join(at, "cls")
-    left = keyed.select(F.xxhash64("band", "cell").alias("k"), F.col("cls").alias("a"))
-    right = keyed.select(F.explode(F.array(F.struct(F.xxhash64("band", "cell").alias("k"), F.lit(True).alias("same")), F.struct(F.xxhash64("band", F.col("cell") - 1).alias("k"), F.lit(False).alias("same")))).alias("x"), F.col("cls").alias("b")).select("x.k", "x.same", "b")
-    # pairs of one cell come once, in order; pairs of neighbouring cells in either order
-    found = left.join(right, "k").filter("a <> b and (not same or a < b)")
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    regs = classes.select("cls", "regs", "size")
-    est = found.join(regs.select(F.col("cls").alias("a"), F.col("regs").alias("ra"), F.col("size").alias("na")), "a")
-    est = est.join(regs.select(F.col("cls").alias("b"), F.col("regs").alias("rb"), F.col("size").alias("nb")), "b")
-    est = est.withColumn("jaccard", _estimate("ra", "rb", "na", "nb")).filter(F.col("jaccard") >= LEAST_JACCARD - SLACK).select("a", "b")
+    classes = materialise(classes.withColumn("vector", _vector(hashes, counts)), "p5-classes")
+    vectors = classes.select("cls", "vector")
+    at = members.filter("t is not null").groupBy("cls", "cell").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).join(vectors, "cls")
+    found = _block_pairs(at, NEAR, least_cosine, date_weight / window_days / cosine_weight)
     words = classes.select("cls", F.map_from_entries("entries").alias("w"), F.aggregate(counts, F.lit(0.0), lambda s, x: s + x.cast("double") * x).alias("norm2"))
-    exact = est.join(words.select(F.col("cls").alias("a"), F.col("w").alias("wa"), F.col("norm2").alias("xa")), "a")
+    exact = materialise(found, "p5-found").join(words.select(F.col("cls").alias("a"), F.col("w").alias("wa"), F.col("norm2").alias("xa")), "a")
     exact = exact.join(words.select(F.col("cls").alias("b"), F.col("w").alias("wb"), F.col("norm2").alias("xb")), "b")
     dot = F.aggregate(F.map_entries("wa"), F.lit(0.0), lambda s, e: s + e["value"].cast("double") * F.coalesce(F.col("wb")[e["key"]], F.lit(0)))
     exact = exact.select("a", "b", (dot / F.sqrt(F.col("xa") * F.col("xb"))).alias("cosine")).filter(F.col("cosine") >= least_cosine - 1e-9)

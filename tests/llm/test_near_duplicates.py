@@ -62,3 +62,12 @@ def test_incremental_clusters_against_a_fold(spark):
     got = best_match_clusters(df, spark.createDataFrame(rows, "id string, t long")).collect()
     assert {r["id"]: r.cluster_id for r in got} == cluster
     assert all(r.n_members == list(cluster.values()).count(r.cluster_id) for r in got)
+
+
+def test_skewed_counts_are_found(spark):
+    # one word 10 times and 20 others each: cosine 0.83, yet a Jaccard similarity of 0.2 only
+    rows = [(f"m{k}", 3600 * k, {"hot": 10} | {f"w{k}-{i}": 1 for i in range(20)}) for k in range(12)]
+    rows += [("half", 0, {f"x{i}": 1 for i in range(40)}), ("whole", 0, {f"x{i}": 1 for i in range(78)})]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and score(a[2], b[2], a[1], b[1]) >= 0.8}
+    got = near_pairs(spark.createDataFrame(rows, "id string, t long, tokens map<string,int>")).collect()
+    assert len(want) == 67 and {(r.memo_a, r.memo_b) for r in got} == want and len(got) == 67
