@@ -10,6 +10,9 @@ from quillspark.operators.timestamps import utc_micros
 from quillspark.plans.session import materialise
 from quillspark.sources.tables import latest_rows, table
 
+#: Score from which a memo joins the cluster of another.
+CLUSTER = 0.55
+
 
 def memo_rows(spark: SparkSession, d: str) -> DataFrame:
     m = latest_rows(table(spark, d, "memos").select("id", "created_at", "body_tokens", "modified_at"), "id", "modified_at")
@@ -27,7 +30,7 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def st1_clusters(spark: SparkSession, d: str) -> DataFrame:
     rows = materialise(memo_rows(spark, d), "st1-rows")
-    return best_match_clusters(materialise(near_pairs(rows).select("memo_a", "memo_b", "score"), "st1-pairs"), rows)
+    return best_match_clusters(materialise(near_pairs(rows, CLUSTER).select("memo_a", "memo_b", "score"), "st1-pairs"), rows)
 
 
 QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups, "st1_clusters": st1_clusters}

@@ -4,9 +4,9 @@ Equal word counts are folded into classes. All classes of a block are compared w
 matrices whose columns are hashed words: as no entry is negative, words that share a column can only raise the product,
 so it bounds the cosine from above and no pair is lost, however skewed its counts. What passes is verified exactly.
 
-The score is cosine_weight x cosine + date_weight x max(0, 1 - days / window). Where the cosine part
-alone can't reach the threshold, the days between a pair are bounded, so only blocks of one time cell
-and the next are compared. The work grows with the square of the classes in a time cell.
+The score is cosine_weight x cosine + date_weight x max(0, 1 - days / window). A pair in need of the date term lies within
+a bounded time, so only blocks of one time cell and the next are compared; a pair whose cosine part alone reaches the
+threshold is sought over all blocks, whatever its times. The work grows with the square of the classes in a time cell, or of all classes.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from quillspark.plans.components import connected_components
 from quillspark.plans.session import materialise
 
 DAY = 86_400_000_000
-#: Columns and classes a block.
-NEAR = (2048, 2048)
+#: Columns and classes a block. Low cosines within a time cell need more columns to tell them from chance than high ones over all classes.
+NEAR, FAR = (2048, 2048), (256, 4096)
 _ENTRY = np.dtype([("column", "<u2"), ("weight", "<f4")])
 
 
@@ -109,22 +109,26 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_pairs(rows: DataFrame, threshold: float = 0.8, cosine_weight: float = 0.7, window_days: float = 7.0) -> DataFrame:
     """(memo_a, memo_b, cosine, score): all pairs of `rows` (id STRING, t BIGINT micros, tokens MAP<STRING,INT>) at or above threshold.
 
-    Rows with null or empty tokens are in no pair; neither are rows without time, whose score can't reach the
-    threshold. ids must be unique. Equal rows pair with score 1. An empty table gives no pairs.
+    Rows with null or empty tokens are in no pair. A pair with a row without time scores by its cosine alone.
+    ids must be unique. Equal rows pair with score 1. An empty table gives no pairs.
     """
     date_weight = 1 - cosine_weight
-    if cosine_weight >= threshold:
-        raise ValueError("the threshold must be above the cosine weight: else time doesn't bound the pairs")
-    reach = int(window_days * (1 - (threshold - cosine_weight) / date_weight) * DAY) + 1
+    if threshold <= date_weight:
+        raise ValueError("the threshold must be above the date weight: else time alone makes pairs, and cosine doesn't bound them")
+    any_time = cosine_weight >= threshold  # the cosine part alone may reach the threshold
+    reach = int(window_days * min(1.0, 1 - (threshold - cosine_weight) / date_weight) * DAY) + 1
     least_cosine = (threshold - date_weight) / cosine_weight
-    valid = rows.filter("id is not null and t is not null and tokens is not null")
-    members, classes = _classes(valid)
+    valid = rows.filter("id is not null and tokens is not null")
+    members, classes = _classes(valid if any_time else valid.filter("t is not null"))
     members = materialise(members.withColumn("cell", F.expr(f"t div {reach} - if(t < 0, 1, 0)")), "p5-members")
     hashes, counts = F.transform("entries", lambda e: F.xxhash64(e["key"])), F.transform("entries", lambda e: e["value"])
     classes = materialise(classes.withColumn("vector", _vector(hashes, counts)), "p5-classes")
     vectors = classes.select("cls", "vector")
     at = members.filter("t is not null").groupBy("cls", "cell").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).join(vectors, "cls")
     found = _block_pairs(at, NEAR, least_cosine, date_weight / window_days / cosine_weight)
+    if any_time:
+        everywhere = vectors.select("cls", F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), "vector")
+        found = found.unionByName(_block_pairs(everywhere, FAR, threshold / cosine_weight, 0.0)).distinct()
     words = classes.select("cls", F.map_from_entries("entries").alias("w"), F.aggregate(counts, F.lit(0.0), lambda s, x: s + x.cast("double") * x).alias("norm2"))
     exact = materialise(found, "p5-found").join(words.select(F.col("cls").alias("a"), F.col("w").alias("wa"), F.col("norm2").alias("xa")), "a")
     exact = exact.join(words.select(F.col("cls").alias("b"), F.col("w").alias("wb"), F.col("norm2").alias("xb")), "b")
@@ -132,11 +136,18 @@ def near_pairs(rows: DataFrame, threshold: float = 0.8, cosine_weight: float = 0
     exact = exact.select("a", "b", (dot / F.sqrt(F.col("xa") * F.col("xb"))).alias("cosine")).filter(F.col("cosine") >= least_cosine - 1e-9)
     copies = members.groupBy("cls").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("cosine"))
     linked = exact.unionByName(copies)
-    one = members.select(F.col("cls").alias("a"), F.col("id").alias("ia"), F.col("t").alias("ta"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    if any_time:
+        linked = materialise(linked, "p5-linked")
+    alone = F.col("cosine") * cosine_weight >= threshold - 1e-9
+    one = members.select(F.col("cls").alias("a"), F.col("id").alias("ia"), F.col("t").alias("ta"), "cell")
     two = members.select(F.col("cls").alias("b"), F.col("id").alias("ib"), F.col("t").alias("tb"), "cell")
-    score = F.col("cosine") * cosine_weight + date_weight * F.greatest(F.lit(0.0), 1 - F.abs(F.col("ta") - F.col("tb")) / DAY / window_days)
-    out = linked.join(one, "a").join(two, ["b", "cell"]).filter("ia <> ib and (a <> b or ia < ib)")
-    out = out.select(F.least("ia", "ib").alias("memo_a"), F.greatest("ia", "ib").alias("memo_b"), "cosine", score.alias("score"))
+    near = one.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
+    out = linked.filter(~alone).join(near, "a").join(two, ["b", "cell"]).drop("cell")
+    if any_time:
+        out = out.unionByName(linked.filter(alone).join(one.drop("cell"), "a").join(two.drop("cell"), "b"))
+    by_date = F.greatest(F.lit(0.0), 1 - F.abs(F.col("ta") - F.col("tb")) / DAY / window_days)  # without a time: 0
+    out = out.filter("ia <> ib and (a <> b or ia < ib)")
+    out = out.select(F.least("ia", "ib").alias("memo_a"), F.greatest("ia", "ib").alias("memo_b"), "cosine", (F.col("cosine") * cosine_weight + date_weight * by_date).alias("score"))
     return out.filter(F.col("score") >= threshold - 1e-9)
 
 

@@ -3,6 +3,7 @@ from math import sqrt
 
 import numpy as np
 
+from quillspark.llm import near_duplicates
 from quillspark.llm.near_duplicates import DAY, best_match_clusters, groups, near_pairs
 from quillspark.llm.sketch import joint_jaccard, registers
 
@@ -71,3 +72,29 @@ def test_skewed_counts_are_found(spark):
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and score(a[2], b[2], a[1], b[1]) >= 0.8}
     got = near_pairs(spark.createDataFrame(rows, "id string, t long, tokens map<string,int>")).collect()
     assert len(want) == 67 and {(r.memo_a, r.memo_b) for r in got} == want and len(got) == 67
+
+
+def test_lower_threshold_is_not_bound_by_time(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "NEAR", (2048, 7))  # several blocks a cell
+    monkeypatch.setattr(near_duplicates, "FAR", (256, 16))
+    rng = random.Random(5)
+    rows = []
+    for g in range(20):
+        base = {f"w{rng.randrange(900)}": rng.randrange(1, 4) for _ in range(40)}
+        for k in range(5):
+            t = dict(base)
+            for _ in range(rng.randrange(0, 30)):
+                t.pop(rng.choice(list(t)), None)
+                t[f"w{rng.randrange(900)}"] = 1
+            rows.append((f"m{g}-{k}", rng.choice([None, rng.randrange(-3 * DAY, 6 * DAY), rng.randrange(400 * DAY)]), t))
+    rows += [("copy1", 0, {"a": 1}), ("copy2", 90 * DAY, {"a": 1}), ("copy3", None, {"a": 1}), ("empty", 0, {}), ("null", None, None)]
+
+    def total(a, b):
+        timeless = a[1] is None or b[1] is None
+        return score(a[2], b[2], *((0, 9 * DAY) if timeless else (a[1], b[1])))
+
+    want = {tuple(sorted((a[0], b[0]))): total(a, b) for i, a in enumerate(rows) for b in rows[:i] if a[2] and b[2] and total(a, b) >= 0.55}
+    got = near_pairs(spark.createDataFrame(rows, "id string, t long, tokens map<string,int>"), 0.55).collect()
+    assert {(r.memo_a, r.memo_b) for r in got} == set(want) and len(got) == len(want)
+    assert all(abs(r.score - want[r.memo_a, r.memo_b]) < 1e-9 for r in got)
+    assert ("copy1", "copy3") in want and any(s < 0.7 for s in want.values())
