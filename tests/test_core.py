@@ -144,3 +144,15 @@ def test_retrieval_prefers_newer_of_equal_rows(spark):
     df = spark.createDataFrame(rows, "id string, haystack string, at timestamp, canonical boolean")
     got = memory.retrieve(df, F.lit("what about the rollback"), F.lit("2026-05-01").cast("timestamp"), 3).collect()
     assert [r["id"] for r in got[:2]] == ["b", "c"] or got[0]["id"] == "b"
+
+
+def test_event_windows_include_the_open_ones(spark, tmp_path):
+    from quillspark.streaming.streams import st8_event_windows
+
+    e = spark.createDataFrame([("2024-01-01 00:10:00", "view"), ("2024-01-01 00:50:00", "view"), ("2024-01-01 05:10:00", "view"), ("2024-01-01 05:20:00", "click")], "ts string, event_type string")
+    e.selectExpr("cast(ts as timestamp) as ts", "event_type").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    part = next((tmp_path / "events.parquet").glob("part-*"))
+    (tmp_path / "in").mkdir()
+    part.rename(tmp_path / "in" / "events.parquet")
+    got = st8_event_windows(spark, str(tmp_path / "in")).collect()
+    assert sorted((r.window_start // 3_600_000_000 % 24, r.event_type, r.n) for r in got) == [(0, "view", 2), (5, "click", 1), (5, "view", 1)]
