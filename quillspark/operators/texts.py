@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -128,11 +128,15 @@ def j_people(spark: SparkSession, d: str) -> DataFrame:
     return n.join(F.broadcast(p), "user_id", "left").groupBy(F.coalesce("team", F.lit("unknown")).alias("team")).agg(F.sum("n").alias("n"))
 
 
+def item_key() -> Column:
+    """The dedupe key of an item reference (source_name, id, content): by thread for Slack, else by content."""
+    return F.when(F.col("source_name") == "slack", F.concat(F.lit("slack:"), "id")).otherwise(F.concat_ws(":", "source_name", text.digest(F.coalesce("content", F.lit("")), 16)))
+
+
 def harvest_keys(spark: SparkSession, d: str) -> DataFrame:
     """(ref_no, batch_no, source_name, key), one row per item."""
-    i = latest_rows(table(spark, d, "harvest_items").select("ref_no", "batch_no", "source_name", "id", "content", "arrived_at"), "ref_no", "arrived_at")
-    key = F.when(F.col("source_name") == "slack", F.concat(F.lit("slack:"), "id")).otherwise(F.concat_ws(":", "source_name", text.digest(F.coalesce("content", F.lit("")), 16)))
-    return i.select("ref_no", "batch_no", "source_name", key.alias("key"))
+    i = table(spark, d, "harvest_items").select("ref_no", "batch_no", "source_name", item_key().alias("key"), "arrived_at")
+    return latest_rows(i, "ref_no", "arrived_at").drop("arrived_at")
 
 
 def j4_unseen_items(spark: SparkSession, d: str) -> DataFrame:

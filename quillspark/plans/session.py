@@ -26,22 +26,38 @@ def build_session(app: str = "quillspark", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor sees; a local one only where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, which every executor sees. Where it is unset a local master, as in tests, gets a temporary
+    folder of its machine; on a cluster that would lose data, so there it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        existing = spark.sparkContext.getCheckpointDir()
-        folder = existing or "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        if not existing:
-            spark.sparkContext.setCheckpointDir(folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: the lineage ends there.
 
     The files survive the loss of an executor, unlike cached blocks, and are far smaller than RDD checkpoints.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised step that a later one has replaced."""
+    spark = df.sparkSession
+    root = shared_dir(spark)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if root.split("://")[-1].rstrip("/") in folder:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
