@@ -24,8 +24,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    rows = materialise(memo_rows(spark, d), "p5-rows")
-    return groups(materialise(near_pairs(rows).select("memo_a", "memo_b").distinct(), "p5-pairs"), rows)
+    return groups(materialise(memo_rows(spark, d), "p5-rows"))
 
 
 def st1_clusters(spark: SparkSession, d: str) -> DataFrame:

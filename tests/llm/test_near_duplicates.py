@@ -3,7 +3,7 @@ from math import sqrt
 
 import numpy as np
 
-from quillspark.llm import near_duplicates
+from quillspark.llm import blocks
 from quillspark.llm.near_duplicates import DAY, best_match_clusters, groups, near_pairs
 from quillspark.llm.sketch import joint_jaccard, registers
 
@@ -29,8 +29,19 @@ def test_against_all_pairs(spark):
     want = {(a[0], b[0]) if a[0] < b[0] else (b[0], a[0]) for i, a in enumerate(rows) for b in rows[:i] if a[1] is not None and b[1] is not None and a[2] and b[2] and score(a[2], b[2], a[1], b[1]) >= 0.8}
     pairs = near_pairs(df).cache()
     assert {(r.memo_a, r.memo_b) for r in pairs.collect()} == want and pairs.count() == len(want)
-    g = {r["id"]: r for r in groups(pairs, df).collect()}
-    assert g["copy2"].group_id == "copy1" and g["none"].n_links == 0 and len(g) == len(rows)
+    g = {r["id"]: r for r in groups(df).collect()}
+    assert g["copy2"].group_id == "copy1" and g["none"].n_links == 0 and len(g) == len(rows) and (g["copy1"].n_copies, g["late"].n_copies) in ((1, 0), (0, 0))
+    parent = {r[0]: r[0] for r in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in want:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    assert {k: r.group_id for k, r in g.items()} == {k: root(k) for k in parent}
     assert near_pairs(df.filter("false")).count() == 0
 
 
@@ -39,7 +50,9 @@ def test_sketch_estimates():
     a = rng.integers(-(2**62), 2**62, 400)
     b = np.concatenate([a[:300], rng.integers(-(2**62), 2**62, 100)])
     one = np.ones(400, dtype=int)
-    r = registers([a, b, np.zeros(0, dtype=int)], [one, one, np.zeros(0, dtype=int)], 512)
+    r = registers([a, b, np.zeros(0, dtype=int), a[:40]], [one, one, np.zeros(0, dtype=int), np.arange(1, 41)], 512)
+    heavy = registers([a[:40]], [np.arange(1, 41) * 2.0], 512)  # twice the weight each: a similarity of a half
+    assert abs((heavy[0] == r[3]).mean() - 0.5) < 0.08 and (heavy[0] >= r[3]).all()
     est = joint_jaccard(r[:1], r[1:2], np.array([400.0]), np.array([400.0]))[0]
     assert abs(est - 0.6) < 0.08
     union = registers([np.union1d(a, b)], [np.ones(len(np.union1d(a, b)), dtype=int)], 512)
@@ -75,8 +88,7 @@ def test_skewed_counts_are_found(spark):
 
 
 def test_lower_threshold_is_not_bound_by_time(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "NEAR", (2048, 7))  # several blocks a cell
-    monkeypatch.setattr(near_duplicates, "FAR", (256, 16))
+    monkeypatch.setattr(blocks, "BLOCK", 7)  # several blocks a cell
     rng = random.Random(5)
     rows = []
     for g in range(20):
@@ -98,3 +110,16 @@ def test_lower_threshold_is_not_bound_by_time(spark, monkeypatch):
     assert {(r.memo_a, r.memo_b) for r in got} == set(want) and len(got) == len(want)
     assert all(abs(r.score - want[r.memo_a, r.memo_b]) < 1e-9 for r in got)
     assert ("copy1", "copy3") in want and any(s < 0.7 for s in want.values())
+
+
+def test_groups_by_the_closest_neighbours(spark):
+    # two texts of cosine 0.8 may be 0.3 x 7 days x ... apart: their spans overlap, yet only some of their members are near
+    a, b = {f"w{i}": 1 for i in range(50)}, {f"w{i}": 1 for i in range(40)} | {f"v{i}": 1 for i in range(10)}
+    hours = 3_600_000_000
+    for shift, linked in ((2, True), (40, False)):
+        rows = [("a1", 0, a), ("a2", 100 * hours, a), ("b1", (50 - 30 + shift) * hours, b)]
+        near = [abs(x[1] - y[1]) / DAY for x in rows[:2] for y in rows[2:]]
+        df = spark.createDataFrame(rows, "id string, t long, tokens map<string,int>")
+        got = {r["id"]: r.group_id for r in groups(df).collect()}
+        pairs = {(r.memo_a, r.memo_b) for r in near_pairs(df).collect()}
+        assert (got["b1"] == "a1") == any(score(x[2], y[2], x[1], y[1]) >= 0.8 for x in rows[:2] for y in rows[2:]) == bool(pairs & {("a1", "b1"), ("a2", "b1")}), (near, linked)
