@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words too common to tell texts apart.
-STOPWORDS = """a an and are as at be because been but by can could did do does for from had has have he her his how i if in into is it its
-just me my no not of on or our out she so that the their them then there these they this those to up was we were what when which who will
-with would you your""".split()
+STOPWORDS = """the and for are but not you all can her was one our out day get has him his how man new now old see two who boy did its let put say
+she too use this that with have from they will would there their what about which when where your been than them into such could should
+these those then""".split()
 
 
 def terms(text: Column, least: int = 3) -> Column:
@@ -31,12 +31,6 @@ def slug(text: Column, most: int = 60) -> Column:
     return F.coalesce(F.nullif(F.substring(joined, 1, most), F.lit("")), F.lit("untitled"))
 
 
-def plain_ascii(text: Column) -> Column:
-    """Lower case without accents; everything but a-z, 0-9 and blanks becomes a blank; blanks collapse."""
-    flat = F.translate(F.lower(text), "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy")
-    return F.trim(F.regexp_replace(F.regexp_replace(flat, r"[^a-z0-9\s]", " "), r"\s+", " "))
-
-
 def estimated_tokens(text: Column) -> Column:
     """Characters divided by four, rounded down."""
     return F.floor(F.length(F.coalesce(text, F.lit(""))) / 4).cast("bigint")

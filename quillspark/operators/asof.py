@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def nearest(left: DataFrame, right: DataFrame, by: str, left_id: str, right_id: str, bucket_us: int, buckets: int = 1) -> DataFrame:
@@ -11,13 +12,20 @@ def nearest(left: DataFrame, right: DataFrame, by: str, left_id: str, right_id:
 
     Both sides have `at` (BIGINT microseconds). Candidates lie in the row's bucket of bucket_us microseconds and the
     `buckets` ones before. Ties: the row's own bucket first, then the smaller right_id. Without candidate, or with a null key or
-    time, match_id is null. The join is on equality of (by, bucket): left is exploded by buckets + 1, which is
-    constant, and the best match is combined before the second shuffle, so a key with many rows only costs its own buckets.
+    time, match_id is null. Right rows are shown to the buckets that may ask for them, a constant number; within a bucket both sides are
+    merged in order of time and each left row looks at its neighbours alone, so that work grows with the rows, not with their product.
     """
-    cell = lambda c: F.floor(c / F.lit(bucket_us)).cast("bigint")
-    probe = left.select(left_id, by, "at", F.explode(F.sequence(F.lit(0), F.lit(buckets))).alias("back")).withColumn("cell", cell(F.col("at")) - F.col("back"))
-    build = right.select(F.col(by), cell(F.col("at")).alias("cell"), F.col("at").alias("r_at"), F.col(right_id).alias("r_id"))
-    hits = probe.join(build, [by, "cell"]).withColumn("gap_us", F.abs(F.col("at") - F.col("r_at")))
-    best = hits.groupBy(left_id).agg(F.min(F.struct("gap_us", "back", "r_id")).alias("best"))
-    best = best.select(left_id, F.col("best.r_id").alias("match_id"), F.col("best.gap_us").alias("gap_us"))
+    cell = F.floor(F.col("at") / F.lit(bucket_us)).cast("bigint")
+    ask = left.filter(F.col(by).isNotNull() & F.col("at").isNotNull()).select(F.col(by), "at", cell.alias("cell"), F.lit(None).cast("int").alias("back"), F.col(left_id).alias("l_id"), F.lit(None).cast(right.schema[right_id].dataType).alias("r_id"))
+    show = right.filter(F.col(by).isNotNull() & F.col("at").isNotNull()).groupBy(by, "at").agg(F.min(right_id).alias("r_id"))  # of equal times the smaller id
+    show = show.select(F.col(by), "at", F.explode(F.sequence(F.lit(0), F.lit(buckets))).alias("back"), cell.alias("c"), "r_id")
+    show = show.select(F.col(by), "at", (F.col("c") + F.col("back")).cast("bigint").alias("cell"), F.col("back").cast("int").alias("back"), F.lit(None).cast(left.schema[left_id].dataType).alias("l_id"), "r_id")
+    w = Window.partitionBy(by, "cell").orderBy("at")
+    seen = F.when(F.col("r_id").isNotNull(), F.struct("at", "back", "r_id"))
+    before = F.last(seen, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.first(seen, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    option = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("at") - F.col(f"{c}.at")).alias("gap_us"), F.col(f"{c}.back").alias("back"), F.col(f"{c}.r_id").alias("r_id")))
+    met = ask.unionByName(show).withColumns({"before": before, "after": after}).filter("l_id is not null")
+    best = met.select("l_id", F.least(option("before"), option("after")).alias("best")).groupBy("l_id").agg(F.min("best").alias("best"))
+    best = best.select(F.col("l_id").alias(left_id), F.col("best.r_id").alias("match_id"), F.col("best.gap_us").alias("gap_us"))
     return left.join(best, left_id, "left")

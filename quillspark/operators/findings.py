@@ -50,9 +50,9 @@ def st4_cached_states(spark: SparkSession, d: str) -> DataFrame:
 
 def st2_scan_window(spark: SparkSession, d: str) -> DataFrame:
     """Memos per source changed since the watermark, the last successful run before 2026-06-01; the next watermark is the run's start."""
-    r = latest_rows(table(spark, d, "harvest_runs"), "run_id", "modified_at").filter("ok and modified_at < timestamp'2026-06-01 00:00:00'")
+    r = latest_rows(table(spark, d, "harvest_runs").select("run_id", "ok", "modified_at"), "run_id", "modified_at").filter("ok and modified_at < timestamp'2026-06-01 00:00:00'")
     mark = r.agg(F.max("modified_at").alias("mark"))
-    m = latest_rows(table(spark, d, "memos"), "id", "modified_at").crossJoin(F.broadcast(mark))  # one row
+    m = latest_rows(table(spark, d, "memos").select("id", "source_kind", "modified_at"), "id", "modified_at").crossJoin(F.broadcast(mark))  # one row
     return m.groupBy(kind_key("source_kind").alias("source")).agg(F.count_if(F.col("modified_at") >= F.col("mark")).alias("to_scan"), F.count("*").alias("n"))
 
 

@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import moments, text
+from quillspark.functions.percentiles import exact_percentiles
 from quillspark.operators.timestamps import utc_micros
 from quillspark.sources.tables import kind_key, latest_rows, table
 
 AS_OF = "2026-11-01 00:00:00"
 # Days that a kind is kept; null is for ever, a kind that isn't listed has DEFAULT_DAYS.
-KEEP_DAYS = {"thread": 90, "note": 90, "email": 90, "weekly": 30, "decision": None, "strategy": 365, "incident": 365, "customer_call": 180, "glossary_term": None, "retrospective": 180}
+KEEP_DAYS = {"strategy": 180, "weekly": 90, "retrospective": 180, "decision": None, "legal": None, "thread": 90, "note": 90, "glossary_term": None, "incident": 365, "customer_call": 180}
 DEFAULT_DAYS = 90
+# Fixed value: the authority of a kind of source that isn't listed.
+DEFAULT_AUTHORITY = 5
 
 
-def memos(spark: SparkSession, d: str) -> DataFrame:
-    """The latest state of each memo, its kind of source as a key."""
-    return latest_rows(table(spark, d, "memos"), "id", "modified_at").withColumn("source", kind_key("source_kind"))
+def memos(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """(id, modified_at, source, and the columns named) of the latest state of each memo; only what is named is read and shuffled."""
+    m = table(spark, d, "memos").select("id", "modified_at", kind_key("source_kind").alias("source"), *columns)
+    return latest_rows(m, "id", "modified_at")
 
 
 def iso(c: Column | str) -> Column:
@@ -33,8 +37,8 @@ def expiry_state(m: DataFrame, now: Column) -> Column:
 
 def m7_expiry(spark: SparkSession, d: str) -> DataFrame:
     now = F.lit(AS_OF).cast("timestamp")
-    m = memos(spark, d)
-    return m.groupBy("source", expiry_state(m, now).alias("state")).agg(F.count("*").alias("n"), F.sum(text.estimated_tokens(F.col("body"))).alias("tokens"))
+    m = memos(spark, d, "expires_at", "expiry_locked", text.estimated_tokens(F.col("body")).alias("tokens"))
+    return m.groupBy("source", expiry_state(m, now).alias("state")).agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
 
 
 def a21_inventory(spark: SparkSession, d: str) -> DataFrame:
@@ -42,19 +46,20 @@ def a21_inventory(spark: SparkSession, d: str) -> DataFrame:
     days = moments.whole_days(F.col("modified_at"), F.lit(AS_OF).cast("timestamp"))
     bucket = F.when(days < 30, "<30d").when(days < 90, "30-90d").when(days < 180, "90-180d").otherwise(">180d")
     soon = F.coalesce(iso("expires_at").between(F.lit(AS_OF).cast("timestamp"), F.lit(AS_OF).cast("timestamp") + F.expr("interval 14 days")), F.lit(False))
-    return memos(spark, d).groupBy("kind", bucket.alias("age")).agg(F.count("*").alias("n"), F.count_if(soon).alias("expiring"), F.sum(text.estimated_tokens(F.col("body"))).alias("tokens"))
+    m = memos(spark, d, "kind", "expires_at", text.estimated_tokens(F.col("body")).alias("tokens"))
+    return m.groupBy("kind", bucket.alias("age")).agg(F.count("*").alias("n"), F.count_if(soon).alias("expiring"), F.sum("tokens").alias("tokens"))
 
 
 def j12_keep_days(spark: SparkSession, d: str) -> DataFrame:
     """Memos per kind with the days they are kept: a listed null is for ever, an unlisted kind has the default."""
     listed = spark.createDataFrame(list(KEEP_DAYS.items()), "kind string, days int").withColumn("listed", F.lit(True))
-    m = memos(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
+    m = memos(spark, d, "kind").groupBy("kind").agg(F.count("*").alias("n"))
     return m.join(F.broadcast(listed), "kind", "left").select("kind", "n", F.when(F.col("listed"), F.col("days")).otherwise(F.lit(DEFAULT_DAYS)).alias("days"))
 
 
 def a22_tag_index(spark: SparkSession, d: str) -> DataFrame:
     """Tags that occur in memos of two kinds of source or more, with their numbers of memos."""
-    t = memos(spark, d).select("id", "source", F.explode("tags").alias("tag")).select(F.lower(F.trim("tag")).alias("tag"), "id", "source")
+    t = memos(spark, d, "tags").select("id", "source", F.explode("tags").alias("tag")).select(F.lower(F.trim("tag")).alias("tag"), "id", "source")
     return t.groupBy("tag").agg(F.countDistinct("source").alias("n_sources"), F.countDistinct("id").alias("n_memos"), F.min("id").alias("first_id")).filter("n_sources >= 2")
 
 
@@ -67,22 +72,22 @@ def a23_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w3_canonical(spark: SparkSession, d: str) -> DataFrame:
-    """Per event the flagged memo, else the one of the most trusted source, then the earliest change, then the smallest id."""
+    """Per event the memo of the most trusted source, then the earliest created_at, then the smallest id; memos without a valid created_at come last."""
     trust = table(spark, d, "source_authority").select(kind_key("source_kind").alias("source"), "authority")
-    m = memos(spark, d).withColumn("event", F.nullif(kind_key("event_id"), F.lit(""))).filter("event is not null").join(F.broadcast(trust), "source", "left")
-    key = F.struct((~F.coalesce("is_canonical_for_event", F.lit(False))).cast("int").alias("f"), F.coalesce("authority", F.lit(99)).alias("a"), "modified_at", "id")
+    m = memos(spark, d, "event_id", "created_at").withColumn("event", F.nullif(kind_key("event_id"), F.lit(""))).filter("event is not null").join(F.broadcast(trust), "source", "left")
+    key = F.struct(F.coalesce("authority", F.lit(DEFAULT_AUTHORITY)).alias("a"), F.coalesce(F.unix_micros(iso("created_at")), F.lit(2**62)).alias("t"), "id")
     return m.groupBy("event").agg(F.min(key).alias("best"), F.count("*").alias("n_members")).select("event", F.col("best.id").alias("canonical_id"), "n_members")
 
 
 def j11_authority(spark: SparkSession, d: str) -> DataFrame:
     trust = table(spark, d, "source_authority").select(kind_key("source_kind").alias("source"), "authority")
     n = memos(spark, d).groupBy("source").agg(F.count("*").alias("n"))
-    return n.join(F.broadcast(trust), "source", "left").select("source", "n", F.coalesce("authority", F.lit(5)).alias("authority"))
+    return n.join(F.broadcast(trust), "source", "left").select("source", "n", F.coalesce("authority", F.lit(DEFAULT_AUTHORITY)).alias("authority"))
 
 
 def v_memo_violations(spark: SparkSession, d: str) -> DataFrame:
     """Memos by violated rule: missing required fields, canonical but superseded, superseded by nothing that exists, two canonicals of an event."""
-    m = memos(spark, d)
+    m = memos(spark, d, "source_uri", "kind", "created_at", "tags", "is_canonical_for_event", "superseded_by", "event_id")
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
     rules = F.filter(
         F.array(
@@ -117,33 +122,36 @@ def retrieve(corpus: DataFrame, question: Column, now: Column, most: int = 12) -
 
 
 def t1_retrieval(spark: SparkSession, d: str) -> DataFrame:
-    m = memos(spark, d).select("id", F.concat_ws(" ", "title", "summary", F.array_join("tags", " "), "body").alias("haystack"), F.col("modified_at").alias("at"), F.col("is_canonical_for_event").alias("canonical"))
+    m = memos(spark, d, F.concat_ws(" ", "title", "summary", F.array_join("tags", " "), "body").alias("haystack"), "is_canonical_for_event")
+    m = m.select("id", "haystack", F.col("modified_at").alias("at"), F.col("is_canonical_for_event").alias("canonical"))
     best = retrieve(m, F.lit("what was decided about the checkpoint and the rollback of the deployment"), F.lit(AS_OF).cast("timestamp"))
     return best.select("id", "relevance", F.round("score", 6).alias("score"))
 
 
 def a13_memo_age(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles of the age in days by where the time comes from: created_at, else the last change."""
-    m = memos(spark, d)
+    m = memos(spark, d, "created_at")
     made = utc_micros(F.col("created_at"))
     at = F.coalesce(made, F.unix_micros("modified_at"))
     age = F.round((F.unix_micros(F.lit(AS_OF).cast("timestamp")) - at) / 8.64e10, 2)
-    return m.select(F.when(made.isNotNull(), "created_at").otherwise("modified_at").alias("age_source"), age.alias("age")).groupBy("age_source").agg(F.count("*").alias("n"), F.expr("percentile(age, 0.5)").alias("p50"), F.expr("percentile(age, 0.95)").alias("p95"))
+    ages = m.select(F.when(made.isNotNull(), "created_at").otherwise("modified_at").alias("age_source"), age.alias("age"))
+    return exact_percentiles(ages, "age", {"p50": 0.5, "p95": 0.95}, ["age_source"])
 
 
 def v_grounded(spark: SparkSession, d: str) -> DataFrame:
     """Per kind, memos whose summary, ten characters at least, stands in their body but for case and blanks."""
-    m = memos(spark, d).select("kind", text.folded(F.col("summary")).alias("s"), text.folded(F.col("body")).alias("b"))
-    ok = (F.length("s") >= 10) & F.contains("b", F.col("s"))
-    return m.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.coalesce(ok, F.lit(False))).alias("n_grounded"))
+    s, b = text.folded(F.col("summary")), text.folded(F.col("body"))
+    ok = (F.length(s) >= 10) & F.contains(b, s)
+    m = memos(spark, d, "kind", F.coalesce(ok, F.lit(False)).alias("grounded"))
+    return m.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("grounded").alias("n_grounded"))
 
 
 def w9_budget_pack(spark: SparkSession, d: str) -> DataFrame:
-    """Memos per source in order of time while their running tokens stay within 20,000; the first one always."""
+    """Memos per source in order of time while their running tokens stay within 20,000; the first one always, cut to the budget."""
     tokens = F.greatest(F.lit(1), text.estimated_tokens(F.col("body")))
-    m = memos(spark, d).select("source", "id", F.unix_micros("modified_at").alias("at"), tokens.alias("tokens"))
+    m = memos(spark, d, tokens.alias("tokens")).select("source", "id", F.unix_micros("modified_at").alias("at"), "tokens")
     packed = running_total(m, "source", ["at", "id"], "tokens")
-    return packed.filter((F.col("running") <= 20000) | (F.col("running") == F.col("tokens"))).select("source", "id", "tokens", "running")
+    return packed.filter((F.col("running") <= 20000) | (F.col("running") == F.col("tokens"))).select("source", "id", F.least("tokens", F.lit(20000)).alias("tokens"), F.least("running", F.lit(20000)).alias("running"))
 
 
 def running_total(df: DataFrame, group: str, order: list[str], amount: str, block: int = 86_400_000_000 * 30) -> DataFrame:
@@ -166,13 +174,13 @@ def a12_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a34_over_budget(spark: SparkSession, d: str) -> DataFrame:
-    t = text.estimated_tokens(F.col("body"))
-    return memos(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.count_if(t > 200).alias("over_budget"), F.max(t).alias("largest"))
+    m = memos(spark, d, text.estimated_tokens(F.col("body")).alias("t"))
+    return m.groupBy("source").agg(F.count("*").alias("n"), F.count_if("t > 200").alias("over_budget"), F.max("t").alias("largest"))
 
 
 def a27_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Share of canonical memos among flagged ones: overall, per kind, per provenance; suppressed below 5, marked below 10."""
-    m = memos(spark, d).filter("is_canonical_for_event is not null")
+    m = memos(spark, d, "is_canonical_for_event", "kind", "provenance").filter("is_canonical_for_event is not null")
     g = m.groupingSets([[], ["kind"], ["provenance"]], "kind", "provenance").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.avg(F.col("is_canonical_for_event").cast("int")).alias("share"))
     rate = F.when(F.col("n") >= 5, F.round("share", 4))
     return g.select(F.col("level").cast("int").alias("level"), "kind", "provenance", "n", rate.alias("rate"), (F.col("n") < 10).alias("few"))
@@ -195,8 +203,8 @@ ORACLES = {
     "a22_tag_index": _M + """, t as (select lower(trim(tag, ' ')) as tag, id, source from (select id, source, unnest(tags) as tag from m))
  select tag, count(distinct source) as n_sources, count(distinct id) as n_memos, min(id) as first_id from t group by 1 having count(distinct source) >= 2""",
     "a23_phrases": r"""select phrase, count(*) as n_documents from (select doc_id, unnest(list_distinct(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_\-]+'), lambda w: regexp_full_match(w, '[A-Z][A-Za-z0-9][A-Za-z0-9\-]{1,30}')))) as phrase from documents) group by 1 having count(*) >= 3""",
-    "w3_canonical": _M + """, e as (select m.*, nullif(lower(trim(event_id, ' ')), '') as event, coalesce(a.authority, 99) as rank from m left join source_authority a on lower(trim(a.source_kind, ' ')) = m.source)
- select event, id as canonical_id, n_members from (select *, row_number() over (partition by event order by coalesce(is_canonical_for_event, false) desc, rank, modified_at, id) as k, count(*) over (partition by event) as n_members from e where event is not null) where k = 1""",
+    "w3_canonical": _M + f""", e as (select m.*, nullif(lower(trim(event_id, ' ')), '') as event, coalesce(a.authority, 5) as rank from m left join source_authority a on lower(trim(a.source_kind, ' ')) = m.source)
+ select event, id as canonical_id, n_members from (select *, row_number() over (partition by event order by rank, {_EXP.replace("expires_at", "created_at")} nulls last, id) as k, count(*) over (partition by event) as n_members from e where event is not null) where k = 1""",
     "j11_authority": _M + " select m.source, count(*) as n, any_value(coalesce(a.authority, 5))::int as authority from m left join source_authority a on lower(trim(a.source_kind, ' ')) = m.source group by 1",
     "v_memo_violations": _M + """ select id, 'source_uri_missing' as rule from m where coalesce(trim(source_uri), '') = '' union all select id, 'kind_missing' from m where coalesce(trim(kind), '') = ''
  union all select id, 'created_at_missing' from m where coalesce(trim(created_at, ' '), '') = '' union all select id, 'tags_missing' from m where tags is null
@@ -211,7 +219,7 @@ ORACLES = {
     "v_grounded": _M + r""", f as (select kind, trim(regexp_replace(lower(summary), '\s+', ' ', 'g')) as s, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) as b from m)
  select kind, count(*) as n, count(*) filter (length(s) >= 10 and contains(b, s)) as n_grounded from f group by 1""",
     "w9_budget_pack": _M + f""", t as (select source, id, modified_at, greatest(1, {_TOK})::bigint as tokens from m), r as (select *, sum(tokens) over (partition by source order by modified_at, id rows unbounded preceding)::bigint as running from t)
- select source, id, tokens, running from r where running <= 20000 or running = tokens""",
+ select source, id, least(tokens, 20000) as tokens, least(running, 20000) as running from r where running <= 20000 or running = tokens""",
     "a12_by_source": "select split_part(path, '/', 2) as folder, extension, count(*) as n, count(distinct raw_id) as n_items from raw_items group by 1, 2",
     "a34_over_budget": _M + f" select source, count(*) as n, count(*) filter ({_TOK} > 200) as over_budget, max({_TOK})::bigint as largest from m group by 1",
     "a27_agreement": _M + """ select grouping(kind, provenance)::int as level, kind, provenance, count(*) as n, case when count(*) >= 5 then round(avg(is_canonical_for_event::int), 4) end as rate, count(*) < 10 as few

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.functions.percentiles import exact_percentiles
 from quillspark.operators.asof import nearest
+from quillspark.operators.islands import number_runs
 from quillspark.sources.tables import table
 
 DAY_US = 86_400_000_000
@@ -27,16 +29,13 @@ def user_experience(events: DataFrame) -> DataFrame:
     per = events.groupBy("session").agg(F.count_if(F.col("event") == "purchase").alias("ended"), F.count_if(F.col("event") == "view").alias("started"))
     sessions = per.agg(
         F.count("*").alias("sessions_total"),
-        F.expr("percentile(if(ended > 0, ended, null), 0.5)").alias("queries_per_session_p50"),
-        F.expr("percentile(if(ended > 0, ended, null), 0.95)").alias("queries_per_session_p95"),
         F.round(F.count_if(F.expr("started > 0 and ended = 0")) / F.greatest(F.count_if(F.expr("started > 0")), F.lit(1)), 4).alias("query_abandonment_rate"),
     )
-    times = events.filter("event = 'purchase'").agg(
-        F.count("*").alias("queries_total"),
-        F.expr("cast(percentile(value, 0.5) as bigint)").alias("time_to_response_ms_p50"),
-        F.expr("cast(percentile(value, 0.95) as bigint)").alias("time_to_response_ms_p95"),
-    )
-    return times.crossJoin(sessions)  # one row each
+    ended = events.filter("event = 'purchase'")
+    times = exact_percentiles(ended, "value", {"a": 0.5, "b": 0.95}).select(F.col("a").cast("bigint").alias("time_to_response_ms_p50"), F.col("b").cast("bigint").alias("time_to_response_ms_p95"))
+    each = exact_percentiles(per.filter("ended > 0"), "ended", {"queries_per_session_p50": 0.5, "queries_per_session_p95": 0.95}).drop("n")
+    total = ended.agg(F.count("*").alias("queries_total"))
+    return total.crossJoin(sessions).join(times, how="left").join(each, how="left")  # one row each, or none without values
 
 
 def coverage(events: DataFrame) -> DataFrame:
@@ -50,9 +49,8 @@ def coverage(events: DataFrame) -> DataFrame:
 
 def sessions(events: DataFrame, gap_us: int = 1_800_000_000) -> DataFrame:
     """(user_id, session_no, started, ended, n_events): a session goes on while the gap to the event before is at most gap_us."""
-    w = Window.partitionBy("user_id").orderBy("at", "event_id")
-    new = F.coalesce((F.col("at") - F.lag("at").over(w) > gap_us).cast("int"), F.lit(1))
-    numbered = events.filter("user_id is not null").withColumn("new", new).withColumn("session_no", F.sum("new").over(w))
+    e = events.filter("user_id is not null").select("user_id", "event_id", "at")
+    numbered = number_runs(e, "user_id", ["at", "event_id"], [], lambda was, row: row["at"] - was["at"] > gap_us, DAY_US).withColumnRenamed("run_no", "session_no")
     return numbered.groupBy("user_id", "session_no").agg(F.min("at").alias("started"), F.max("at").alias("ended"), F.count("*").alias("n_events"))
 
 

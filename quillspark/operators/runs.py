@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillspark.functions.moments import tolerant
+from quillspark.operators.islands import number_runs
 from quillspark.sources.tables import latest_rows, table
 
 #: Older than this a newest run is stale; so many failures with one error in a row are a stuck state.
 MAX_AGE_HOURS, STUCK = 26, 3
+MONTH_US = 30 * 86_400_000_000
 
 
-def runs(spark: SparkSession, d: str) -> DataFrame:
-    """One row per run, with `at`: started_at, else ended_at, else the time of modification."""
-    r = latest_rows(table(spark, d, "harvest_runs"), "run_id", "modified_at")
+def runs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """One row per run, with the columns named and `at`: started_at, else ended_at, else the time of modification."""
+    r = latest_rows(table(spark, d, "harvest_runs").select("run_id", "modified_at", "started_at", "ended_at", *columns), "run_id", "modified_at")
     at = F.coalesce(tolerant(F.coalesce(F.nullif("started_at", F.lit("")), F.col("ended_at"))), F.col("modified_at"))
     return r.withColumn("at", at)
 
@@ -23,52 +24,52 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
 def streaks(r: DataFrame) -> DataFrame:
     """(scheduler, error, first_at, last_at, n_failures): unbroken failures with one error, per scheduler in order of time.
 
-    Gaps and islands: a run is in the island that the difference of its two row numbers names. A missing error is ''. Runs with
-    unknown outcome neither break nor extend a streak.
+    A missing error is ''. Runs with unknown outcome neither break nor extend a streak.
     """
-    known = r.filter("ok is not null").select("scheduler", "run_id", "at", "ok", F.when(F.col("ok"), F.lit(None)).otherwise(F.coalesce("error", F.lit(""))).alias("error"))
-    every = Window.partitionBy("scheduler").orderBy("at", "run_id")
-    own = Window.partitionBy("scheduler", "ok", "error").orderBy("at", "run_id")
-    islands = known.withColumn("island", F.row_number().over(every) - F.row_number().over(own)).filter("not ok")
-    out = islands.groupBy("scheduler", "error", "island").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.count("*").alias("n_failures"))
-    return out.select("scheduler", "error", F.unix_micros("a").alias("first_at"), F.unix_micros("b").alias("last_at"), "n_failures")
+    known = r.filter("ok is not null").select("scheduler", "run_id", F.unix_micros("at").alias("at"), "ok", F.when(F.col("ok"), F.lit("")).otherwise(F.coalesce("error", F.lit(""))).alias("error"))
+    numbered = number_runs(known, "scheduler", ["at", "run_id"], ["ok", "error"], lambda was, row: (was["ok"] != row["ok"]) | (was["error"] != row["error"]), MONTH_US)
+    out = numbered.filter("not ok").groupBy("scheduler", "error", "run_no").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("n_failures"))
+    return out.select("scheduler", "error", "first_at", "last_at", "n_failures")
 
 
 def freshness(r: DataFrame, by: str) -> DataFrame:
-    """State per `by` of its newest run as of the newest run of all: STUCK, STUCK_AND_STALE, STALE, FAILED or PASS, in this order."""
+    """State per `by` of its newest run as of the newest run of all: STUCK, STUCK_AND_STALE, STALE, FAILED or PASS, in this order.
+
+    `failures` is the length of the unbroken failures with one error that the newest run ends; a run of unknown outcome breaks them.
+    """
     now = r.agg(F.max("at").alias("now"))
-    w = Window.partitionBy(by).orderBy(F.col("at").desc(), F.col("run_id").desc())
-    n = r.withColumn("rn", F.row_number().over(w)).withColumn("newest_error", F.first(F.coalesce("error", F.lit(""))).over(w))
-    bad = F.coalesce(~F.col("ok"), F.lit(False)) & (F.coalesce("error", F.lit("")) == F.col("newest_error"))
-    run = n.withColumn("broken", F.max((~bad).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    s = run.groupBy(by).agg(F.max_by("at", F.struct("at", "run_id")).alias("at"), F.max_by("ok", F.struct("at", "run_id")).alias("ok"), F.count_if(F.expr("broken = 0")).alias("failures"))
-    s = s.crossJoin(F.broadcast(now)).withColumn("age_hours", (F.unix_micros("now") - F.unix_micros("at")) / 3.6e9)  # now is one row
+    bad = F.coalesce(~F.col("ok"), F.lit(False))
+    runs_ = r.select(F.col(by), "run_id", F.unix_micros("at").alias("at"), "ok", bad.alias("bad"), F.coalesce("error", F.lit("")).alias("error"))
+    numbered = number_runs(runs_, by, ["at", "run_id"], ["bad", "error"], lambda was, row: ~was["bad"] | ~row["bad"] | (was["error"] != row["error"]), MONTH_US)
+    per = numbered.groupBy(by, "run_no").agg(F.count_if("bad").alias("failures"), F.max(F.struct("at", "run_id", "ok")).alias("last"))
+    s = per.groupBy(by).agg(F.max_by(F.struct("failures", "last"), "run_no").alias("x")).select(by, "x.failures", F.col("x.last.at").alias("at"), F.col("x.last.ok").alias("ok"))
+    s = s.crossJoin(F.broadcast(now)).withColumn("age_hours", (F.unix_micros("now") - F.col("at")) / 3.6e9)  # now is one row
     stale, stuck = F.col("age_hours") > MAX_AGE_HOURS, F.col("failures") >= STUCK
     state = F.when(stuck & stale, "STUCK_AND_STALE").when(stuck, "STUCK").when(stale, "STALE").when(~F.col("ok"), "FAILED").otherwise("PASS")
     return s.select(by, state.alias("state"), "failures", F.round("age_hours", 4).alias("age_hours"))
 
 
 def a15_run_health(spark: SparkSession, d: str) -> DataFrame:
-    r = runs(spark, d).withColumn("day", F.date_format("at", "yyyy-MM-dd"))
+    r = runs(spark, d, "ok").withColumn("day", F.date_format("at", "yyyy-MM-dd"))
     return r.groupBy("day").agg(F.count("*").alias("runs"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.round(F.try_divide(F.count_if("ok"), F.count("*")), 4).alias("success_rate"))
 
 
 def a17_errors_by_source(spark: SparkSession, d: str) -> DataFrame:
-    s = runs(spark, d).select(F.explode("sources").alias("source", "x"))
+    s = runs(spark, d, "sources").select(F.explode("sources").alias("source", "x"))
     return s.groupBy("source").agg(F.sum(F.size(F.coalesce("x.errors", F.array().cast("array<string>")))).cast("bigint").alias("errors"), F.sum("x.new").cast("bigint").alias("new_items")).filter("errors > 0")
 
 
 def w1_failure_streaks(spark: SparkSession, d: str) -> DataFrame:
-    return streaks(runs(spark, d))
+    return streaks(runs(spark, d, "scheduler", "ok", "error"))
 
 
 def w2_freshness(spark: SparkSession, d: str) -> DataFrame:
-    return freshness(runs(spark, d), "scheduler")
+    return freshness(runs(spark, d, "scheduler", "ok", "error"), "scheduler")
 
 
 def w7_cutoff_anchor(spark: SparkSession, d: str) -> DataFrame:
     """Per scheduler the newest success, from which the next run reads; none: a cold start."""
-    g = runs(spark, d).groupBy("scheduler").agg(F.max(F.when(F.col("ok"), F.col("at"))).alias("good"), F.max("at").alias("last"))
+    g = runs(spark, d, "scheduler", "ok").groupBy("scheduler").agg(F.max(F.when(F.col("ok"), F.col("at"))).alias("good"), F.max("at").alias("last"))
     days = (F.unix_micros("last") - F.unix_micros("good")) / 8.64e10
     return g.select("scheduler", F.unix_micros("good").alias("anchor"), F.when(F.col("good").isNull(), "cold_start").when(days > 14, "too_old").otherwise("resume").alias("mode"))
 

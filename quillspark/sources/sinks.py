@@ -10,7 +10,9 @@ from quillspark.plans.session import materialise
 
 EVENT_BYTES = 4000
 # Keys of event data that name persons or texts and are never written.
-DENIED = ["text", "body", "query", "content", "email", "name", "user", "password", "token", "path"]
+DENIED = """raw_query query_text query raw_text body content message prompt email email_address phone phone_number ssn name full_name username
+user_id user address ip ip_address dob birthdate password api_key apikey token access_token refresh_token secret credential authorization
+auth cookie session_token""".split()
 
 
 def safe_data(data: Column) -> Column:
@@ -59,7 +61,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 def verify_manifest(listed: DataFrame, there: DataFrame) -> DataFrame:
     """(path, problem): missing, unlisted, changed, or unsafe paths; nothing for a sound archive."""
     j = listed.alias("l").join(there.alias("t"), "path", "full_outer")
-    unsafe = F.col("path").rlike(r"(^|/)\.\.(/|$)")
+    unsafe = F.col("path").rlike(r"^/|(^|/)\.\.(/|$)")
     problem = F.when(unsafe, "unsafe").when(F.col("t.sha256").isNull(), "missing").when(F.col("l.sha256").isNull(), "unlisted").when(F.col("l.sha256") != F.col("t.sha256"), "changed")
     return j.select("path", problem.alias("problem")).filter("problem is not null")
 
