@@ -74,7 +74,7 @@ def produced_by(text: Column) -> Column:
     Commas inside `[...]` part sources, not keys; quotes round a value fall off.
     """
     body = F.nullif(F.regexp_extract(text, r"(?s)<!--\s*produced_by:\s*(.*?)\s*-->", 1), F.lit(""))
-    one = lambda k: F.regexp_replace(F.trim(F.regexp_extract(body, rf"(?:^|,)\s*{k}=([^,\[]*)", 1)), r'^"(.*)"$', "$1")
+    one = lambda k: F.regexp_replace(F.trim(F.regexp_extract(body, rf"(?:^|,)\s*{k}=((?:[^,\[]|\[[^\]]*\])*)", 1)), r'^"(.*)"$', "$1")
     listed = F.filter(F.transform(F.split(F.regexp_extract(body, r"(?s)(?:^|,)\s*sources=\[(.*?)\]", 1), ","), lambda s: F.trim(s)), lambda s: s != "")
     return F.when(body.isNotNull(), F.struct(one("session").alias("session"), one("query").alias("query"), one("at").alias("at"), listed.alias("sources")))
 

@@ -15,8 +15,8 @@ def exact_percentiles(df: DataFrame, value: str, named: dict[str, float], by: li
     """
     by = by or []
     c = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
-    cuts = c.groupBy(*by).agg(F.percentile_approx("__v", [i / cells for i in range(1, cells)], 1000, ).alias("__cuts"))
-    at = (c.join(cuts, by) if by else c.crossJoin(F.broadcast(cuts)))  # ungrouped: one row
+    cuts = c.groupBy(*by).agg(F.percentile_approx("__v", [i / cells for i in range(1, cells)], 1000).alias("__cuts"))
+    at = c.join(cuts, by) if by else c.crossJoin(F.broadcast(cuts))  # ungrouped: one row
     at = at.withColumn("__cell", F.size(F.filter("__cuts", lambda x: x < F.col("__v")))).drop("__cuts")
     w = Window.partitionBy(*by).orderBy("__cell")  # over cells
     totals = at.groupBy(*by, "__cell").agg(F.sum("__n").alias("__t"))
@@ -30,4 +30,4 @@ def exact_percentiles(df: DataFrame, value: str, named: dict[str, float], by: li
     here = {k: (r >= F.col("__start")) & (r < F.col("__start") + F.col("__n")) for k, r in ranks.items()}
     picked = few.groupBy(*by).agg(F.first("n").alias("n"), *[F.max(F.when(h, F.col("__v"))).alias(f"__{k}") for k, h in here.items()])
     between = {k: F.col(f"__{k}_lo") + (F.col(f"__{k}_hi") - F.col(f"__{k}_lo")) * ((F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)) for k, p in named.items()}
-    return picked.select(*by, "n", *[v.alias(k) for k, v in between.items()])
+    return picked.filter("n is not null").select(*by, "n", *[v.alias(k) for k, v in between.items()])

@@ -46,10 +46,10 @@ def parser_for(mask: str) -> tuple[str, dict[str, tuple[int, int]]] | None:
 
 
 def shape_mask(text: Column) -> Column:
-    """Character-class mask of a trimmed text; texts over 64 characters hold no timestamp and get none."""
+    """Character-class mask of a trimmed text of any length; null for empty ones."""
     t = F.regexp_replace(text, r"^\s+|\s+$", "")
     mask = F.regexp_replace(F.regexp_replace(t, "[0-9]", "9"), "[A-Za-z]", "A")
-    return F.when(F.length(t).between(1, 64), mask)
+    return F.when(t != "", mask)
 
 
 def _number(codes: np.ndarray, span: tuple[int, int]) -> np.ndarray:

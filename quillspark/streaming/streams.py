@@ -62,4 +62,7 @@ def st8_event_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"st3_message_stream": st3_message_stream, "st8_event_windows": st8_event_windows}
-ORACLES = {"st3_message_stream": "select channel, count(distinct msg_id) as n_messages from slack_messages group by 1"}
+ORACLES = {
+    "st3_message_stream": "select channel, count(distinct msg_id) as n_messages from slack_messages group by 1",
+    "st8_event_windows": "select epoch_us(date_trunc('hour', ts)) as window_start, event_type, count(*) as n from events group by 1, 2",
+}

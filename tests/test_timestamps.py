@@ -84,3 +84,9 @@ def test_frame_keeps_other_columns_and_handles_empty(spark):
     assert [r.utc_micros for r in got] == [at(2026, 1, 2), at(2026, 1, 2), None, None]
     assert got[0]["mask"] == "a"
     assert normalise(df.filter(F.lit(False)), "ts").count() == 0
+
+
+def test_texts_of_any_length(spark):
+    rows = [("2026-01-02T03:04:05." + "1" * 200 + "Z",), ("x" * 100_000,), ("2026-01-02" + " " * 300,)]
+    got = [r.utc_micros for r in normalise(spark.createDataFrame(rows, "t string"), "t").collect()]
+    assert got == [at(2026, 1, 2, 3, 4, 5, 111111), None, at(2026, 1, 2)]
