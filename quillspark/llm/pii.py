@@ -1,9 +1,11 @@
 """Problem 4: personal information in free text, by a skip-chain conditional random field over candidate spans.
 
-Patterns and a given-name lexicon propose candidates with a wide net. Each candidate is a node whose potential is
-log-linear in its features; candidates of one text that repeat a word or a value are linked by skip edges, and loopy
-message passing makes their labels agree. The weights of names, and of the skip edges, are fitted on texts whose
-names are certain (mail headers, attendee lists, the people table); everything is applied to all texts.
+Patterns and a given-name lexicon propose candidates with a wide net. A span is a node with a label out of none, email, phone,
+id_number, address and name; its potentials are the scores of the patterns that propose it and log-linear in the features
+of names. Neighbours in the text are linked in a chain; spans that repeat a value or a family name, and mail addresses that
+spell a family name, by skip edges, however far apart. Loopy message passing makes the labels agree. The weights of names and
+the potentials of both kinds of links are fitted together, on texts whose names are certain (mail headers, attendee lists,
+the people table); everything is applied to all texts.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
@@ -19,11 +21,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm import crf
 from quillspark.sources.tables import hash_sample
 
-#: Bounds of the training: texts sampled for the weights, given and family names taken from headers by frequency.
-TRAIN_TEXTS, GIVEN_NAMES, FAMILY_NAMES = 8000, 2000, 8000
+#: Bounds of the training alone: texts sampled for the weights and characters of each, family names whose form is learned. Candidates
+#: come from all given names that LEAST_HEADERS headers or more have.
+TRAIN_TEXTS, TRAIN_CHARS, FAMILY_NAMES, LEAST_HEADERS = 8000, 20_000, 8000, 3
 GRAMS = 1 << 14
+LABELS = ["none", "email", "phone", "id_number", "address", "name"]
+LABEL = {k: i for i, k in enumerate(LABELS)}
+#: Neighbours in a chain are at most so many characters apart.
+CHAIN_GAP = 80
 
 _S = r"(?:[ \t]+|[ \t]*\r?\n[ \t]*(?:[>|][ \t>|]*)?)"
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w’'-]+"
@@ -36,7 +44,7 @@ _EMAIL = [
 ]
 _PHONE = [
     r"(?<![\w+])\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)",
-    r"(?<![\w+])\+\d{1,3}(?:[ .-]?\d{1,5}){2,6}(?![\w-])",
+    r"(?<![\w+])\+(?=(?:[ .-]?\d){7})[1-9]\d{0,2}(?:[ .-]?\d{1,5}){2,6}(?![\w-])",  # +0530 is a zone
     r"(?<![\w+])00\d{2} ?\(0\)\d{1,4}[ /-]?\d{3,8}(?!\w)",
     r"(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)",
     r"(?<![\w.-])\d{3}([.-])\d{3}\1\d{4}(?![\w-])",
@@ -94,6 +102,17 @@ class Node:
     feats: tuple = ()
 
 
+@dataclass
+class Span:
+    """All candidates of one span: what it may be, and what links it to others."""
+
+    start: int
+    end: int
+    options: list[Node]
+    keys: set[str] = field(default_factory=set)
+    alike: set[str] = field(default_factory=set)
+
+
 def _family_key(family: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[>|]", " ", family)).split(" ")[-1].lower()
 
@@ -110,7 +129,7 @@ class Model:
     gram_weights: np.ndarray
     common: np.ndarray  # hashed share of a word's uses in lower case that aren't names
     weights: np.ndarray
-    coupling: float = 0.8
+    links: crf.Links = field(default_factory=lambda: crf.Links(len(LABELS)))
 
 
 _CASES = {"title": 0, "upper": 1, "lower": 2, "mixed": 3}
@@ -161,8 +180,9 @@ _SPANISH = ("Calle", "C/", "Avda.", "Avenida", "Plaza", "Pza.", "Paseo", "Ronda"
 _BOXES = ("Box", "Postfach", "Apartado", "BP")
 
 
-def _plain_key(kind: str, value: str) -> str:
-    return f"{kind}:{re.sub('[^a-z0-9]', '', value.lower())}"
+def _plain_key(value: str) -> str:
+    """A value without what writers vary: the same for all kinds, so that one value read in two ways is linked."""
+    return re.sub("[^a-z0-9]", "", value.lower())
 
 
 def pattern_candidates(text: str) -> list[Node]:
@@ -172,7 +192,7 @@ def pattern_candidates(text: str) -> list[Node]:
     def add(kind: str, m: re.Match | None, score: float = 4.0) -> int:
         if m is None:
             return 0
-        out.append(Node(m.start(), m.end(), kind, score, _plain_key(kind, m.group())))
+        out.append(Node(m.start(), m.end(), kind, score, _plain_key(m.group()), m.group() if kind == "email" else ""))
         return m.end()
 
     email, bracketed, spelled = _FORMS["email"]
@@ -217,7 +237,7 @@ def pattern_candidates(text: str) -> list[Node]:
                 if m := f.match(text, k):
                     done = max(done, add("phone", m, 1.0 if _ID_CUE.search(text, max(0, k - 30), k) else 4.0))
             for f in _FORMS["id_number"]:
-                done = max(done, add("id_number", f.match(text, k)))
+                done = max(done, add("id_number", f.match(text, k), 4.2))
             for f in _WEAK:
                 if m := f.match(text, k):
                     add("id_number", m, 3.0 if _ID_CUE.search(text, max(0, k - 45), k) else -3.0)
@@ -242,32 +262,45 @@ def _name_features(text: str, n: Node, model: Model) -> np.ndarray:
     ], dtype=float)
 
 
-def propagate(unary: np.ndarray, edges: np.ndarray, coupling: float, rounds: int = 8) -> np.ndarray:
-    """Log-odds beliefs of binary nodes after loopy message passing along (i, j) edges of equal coupling."""
-    if not len(edges):
-        return unary
-    i, j = edges[:, 0], edges[:, 1]
-    t = np.tanh(coupling / 2)
-    fwd, back = np.zeros(len(edges)), np.zeros(len(edges))
-    belief = unary.copy()
-    for _ in range(rounds):
-        new_f = 2 * np.arctanh(np.clip(t * np.tanh(np.clip(belief[i] - back, -30, 30) / 2), -0.9999, 0.9999))
-        new_b = 2 * np.arctanh(np.clip(t * np.tanh(np.clip(belief[j] - fwd, -30, 30) / 2), -0.9999, 0.9999))
-        fwd, back = 0.5 * fwd + 0.5 * new_f, 0.5 * back + 0.5 * new_b
-        belief = unary.copy()
-        np.add.at(belief, j, fwd)
-        np.add.at(belief, i, back)
-    return belief
-
-
-def skip_edges(nodes: list[Node], offset: int = 0) -> list[tuple[int, int]]:
-    """Each node is linked with the next one of the same key: linear in the nodes, however often a word repeats."""
-    last: dict[str, int] = {}
-    out = []
-    for k, n in enumerate(nodes):
-        if n.key in last:
-            out.append((offset + last[n.key], offset + k))
-        last[n.key] = k
+def spans(nodes: list[Node]) -> list[Span]:
+    """Candidates of one span and one reading as one, in order of their start."""
+    out: dict[tuple, Span] = {}
+    for n in nodes:
+        k = (n.start, n.end, n.feats if n.kind == "name" else ())
+        s = out.setdefault(k, Span(n.start, n.end, []))
+        s.options.append(n)
+        if n.key:
+            s.keys.add(n.key)
+        if n.kind == "name":
+            s.alike.add(n.key)
+        elif n.kind == "email":
+            s.alike |= _mail_words(n.given)
+    return sorted(out.values(), key=lambda s: (s.start, s.end))
+
+
+def _mail_words(value: str) -> set[str]:
+    """The words of four letters or more before the sign `@` of a mail address."""
+    return {w for w in re.split(r"[\W\d_]+", re.split(r"@|[\s\[({]at[\s\])}]", value.lower())[0]) if len(w) > 3}
+
+
+def edges_of(found: list[Span], offset: int = 0) -> list[tuple[int, int, int]]:
+    """(i, j, kind) edges: each span with the next that follows it closely, with the next one of the same key, and with the next that is alike.
+
+    Linear in the spans, however often a value repeats.
+    """
+    out: list[tuple[int, int, int]] = []
+    last: dict[tuple[int, str], int] = {}
+    for k, s in enumerate(found):
+        j = k + 1
+        while j < len(found) and found[j].start < s.end:
+            j += 1
+        if j < len(found) and found[j].start - s.end <= CHAIN_GAP:
+            out.append((offset + k, offset + j, crf.CHAIN))
+        for kind, keys in ((crf.SAME, s.keys), (crf.ALIKE, s.alike)):
+            for key in keys:
+                if (kind, key) in last and found[last[kind, key]].end <= s.start and (kind == crf.SAME or found[last[kind, key]].keys.isdisjoint(s.keys)):
+                    out.append((offset + last[kind, key], offset + k, kind))
+                last[kind, key] = k
     return out
 
 
@@ -298,23 +331,38 @@ def _resolve(nodes: list[Node], belief: np.ndarray) -> list[Node]:
     return out
 
 
+def _potentials(text: str, s: Span, model: Model) -> np.ndarray:
+    """Log potentials of a span's labels: 0 for none, the best score of each kind that proposes it, out of reach for the others."""
+    u = np.full(len(LABELS), crf.FORBIDDEN)
+    u[0] = 0.0
+    for n in s.options:
+        u[LABEL[n.kind]] = max(u[LABEL[n.kind]], float(_name_features(text, n, model) @ model.weights) if n.kind == "name" else n.score)
+    return u
+
+
+def candidates(text: str, model_given: frozenset[str]) -> list[Span]:
+    return spans(pattern_candidates(text) + name_candidates(text, model_given)) if text else []
+
+
 def find(texts: list[str], model: Model) -> list[list[tuple[int, int, str]]]:
     """(start, end, type) of the personal information of each text."""
     per, unary, edges = [], [], []
     for text in texts:
-        nodes = pattern_candidates(text) + name_candidates(text, model.given) if text else []
-        nodes.sort(key=lambda n: n.start)
-        edges.extend(skip_edges(nodes, len(unary)))
-        for n in nodes:
-            unary.append(float(_name_features(text, n, model) @ model.weights) if n.kind == "name" else n.score)
-        per.append(nodes)
-    belief = propagate(np.array(unary), np.array(edges, dtype=int).reshape(-1, 2), model.coupling)
+        found = candidates(text, model.given)
+        edges.extend(edges_of(found, len(unary)))
+        unary.extend(_potentials(text, s, model) for s in found)
+        per.append(found)
+    belief = crf.propagate(np.array(unary).reshape(-1, len(LABELS)), np.array(edges, dtype=int).reshape(-1, 3), model.links)
+    best = belief[:, 1:].argmax(1) + 1 if len(belief) else np.zeros(0, dtype=int)
+    margin = belief[np.arange(len(belief)), best] - belief[:, 0] if len(belief) else np.zeros(0)
     out, k = [], 0
-    for text, nodes in zip(texts, per):
-        found = _resolve(nodes, belief[k : k + len(nodes)]) if nodes else []
-        k += len(nodes)
+    for text, found in zip(texts, per):
+        here = range(k, k + len(found))
+        k += len(found)
+        nodes = [next(n for n in s.options if n.kind == LABELS[best[i]]) if margin[i] > 0 else s.options[0] for i, s in zip(here, found)]
+        kept = _resolve(nodes, margin[list(here)]) if nodes else []
         rows = []
-        for n in found:
+        for n in kept:
             s, e = n.start, n.end
             while e > s and (text[e - 1].isspace() or text[e - 1] in ",;>|"):
                 e -= 1
@@ -333,15 +381,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 400, rate: f
     return w / scale
 
 
-def train(sample: list[str], people: list[str], headers: list[tuple[str, int]]) -> Model:
-    """sample: texts; people: full names; headers: names from mail headers and attendee lists with their counts."""
-    given, family = Counter(), Counter()
-    for name, n in [(p, 5) for p in people] + headers:
-        parts = name.split()
+def train(sample: list[str], people: list[str], given: dict[str, int], family: dict[str, int], known: set[tuple[str, str]]) -> Model:
+    """sample: texts; people: full names; given, family: in how many headers a word is a given or a family name; known: (given, family) of headers of the sample, lower case."""
+    given, family, known = Counter(given), Counter(family), set(known)
+    for name in people:
+        parts = name.lower().split()
         if len(parts) >= 2 and all(_WORD.fullmatch(p) for p in parts):
-            given[parts[0].lower()] += n
-            family[parts[-1].lower()] += n
-    g = frozenset(x for x, n in given.most_common(GIVEN_NAMES) if n >= 3 and n > 0.5 * family[x])
+            given[parts[0]] += 5
+            family[parts[-1]] += 5
+            known.add((parts[0], parts[-1]))
+    g = frozenset(x for x, n in given.items() if n >= LEAST_HEADERS and n > 0.5 * family[x])
     f = frozenset(x for x, _ in family.most_common(FAMILY_NAMES) if x not in g)
     lower, capital, all_ = Counter(), Counter(), Counter()
     for t in sample:
@@ -369,58 +418,85 @@ def train(sample: list[str], people: list[str], headers: list[tuple[str, int]])
             p = 1 / (1 + np.exp(-np.clip(weights[idx[k]].sum(), -30, 30)))
             weights[idx[k]] += 0.3 / (1 + epoch) * (y - p) * ((1 - share) if y else share) * 2
     model = Model(g, f, weights, common, np.zeros(15))
-    known = {tuple(x.lower().split()[:1] + x.lower().split()[-1:]) for x in people} | {tuple(x.lower().split()[:1] + x.lower().split()[-1:]) for x, _ in headers}
-    xs, ys, links = [], [], []
+    base, xs, guess, sure, edges = [], [], [], [], []
     for t in sample:
-        nodes = sorted(name_candidates(t, g), key=lambda n: n.start)
-        label: list[float | None] = []
-        for n in nodes:
-            fam = _family_key(n.family)
-            if (n.given.lower(), fam) in known:
-                label.append(1.0)
-            elif fam in f and n.feats[0] != 2 and _case(n.given) == _case(n.family.split()[-1]):
-                label.append(None)
-            else:
-                label.append(0.0 if fam not in f else None)
-        by_key: dict[str, list[float]] = {}
-        for n, y in zip(nodes, label):
-            if y is not None:
-                by_key.setdefault(n.key, []).append(y)
-        for n, y in zip(nodes, label):
-            if y is None:
-                continue
-            x = _name_features(t, n, model)
-            if rng.random() < 0.5:
-                x[1] = 0.0  # families that no list knows must be told by their form
-            others = by_key[n.key]
+        found = candidates(t, g)
+        edges.extend(edges_of(found, len(base)))
+        for span in found:
+            u, x, y, certain = np.full(len(LABELS), crf.FORBIDDEN), np.zeros(15), 0, True
+            u[0] = 0.0
+            for n in span.options:
+                if n.kind != "name":
+                    u[LABEL[n.kind]] = max(u[LABEL[n.kind]], n.score)
+                    continue
+                u[LABEL["name"]] = 0.0
+                x = _name_features(t, n, model)
+                fam = _family_key(n.family)
+                if (n.given.lower(), fam) in known:
+                    y = LABEL["name"]
+                elif fam in f:
+                    y, certain = LABEL["name"] if _case(n.given) == _case(n.family.split()[-1]) else 0, False
+                if rng.random() < 0.5:
+                    x[1] = 0.0  # families that no list knows must be told by their form
+            if y == 0 and span.options[0].kind != "name":
+                top = int(u.argmax())
+                y, certain = top, u[top] >= 3 or top == 0
+            base.append(u)
             xs.append(x)
-            ys.append(y)
-            links.append(np.clip(sum(2 * o - 1 for o in others) - (2 * y - 1), -2, 2))
-    if len(set(ys)) == 2:
-        x = np.column_stack([np.array(xs), np.array(links)])
-        w = _logistic(x, np.array(ys), 1e-4)
-        model.weights, model.coupling = w[:-1], float(np.clip(w[-1] * 2, 0.2, 1.5))
+            guess.append(y)
+            sure.append(certain)
+    sure = np.array(sure, dtype=bool)
+    is_name = np.array([u[LABEL["name"]] == 0.0 for u in base], dtype=bool)
+    ys = np.array(guess, dtype=int)
+    if len(set(ys[sure & is_name])) == 2:
+        first = _logistic(np.array(xs)[sure & is_name], (ys[sure & is_name] == LABEL["name"]).astype(float), 1e-4)
+        model.weights, model.links = crf.fit(np.array(base), np.array(xs), LABEL["name"], ys, sure, np.array(edges, dtype=int).reshape(-1, 3), first)
     else:
         model.weights = np.array([-1.0, 2, 1, -3, 0.5, 1, -0.5, 0, -1, -0.5, 0.5, -1, 0, 0.5, -0.5])
     return model
 
 
-def header_names(texts: DataFrame, at_most: int = FAMILY_NAMES * 2) -> list[tuple[str, int]]:
-    """The most frequent names of mail headers and attendee lists, counted over all texts; at most `at_most` are brought back."""
-    lines = F.regexp_extract_all("text", F.lit(r"(?m)^(?:From|To|Cc|Attendees): ([^\n]*)"), F.lit(1))
+_HEADER = r"(?m)^(?:From|To|Cc|Attendees): ([^\n]*)"
+_FULL = r"^\p{Lu}[\p{L}'’-]+( [\p{L}'’-]+){1,4}$"
+
+
+def header_words(texts: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
+    """In how many headers and attendee lists each word is a given, and a family name: counted over all texts.
+
+    All given names that LEAST_HEADERS have come back, a vocabulary that hardly grows with the texts; of the family names, whose
+    forms are learned, the FAMILY_NAMES most frequent.
+    """
+    lines = F.regexp_extract_all("text", F.lit(_HEADER), F.lit(1))
     names = texts.select(F.explode(lines).alias("line")).select(F.explode(F.split("line", r",\s*")).alias("x"))
-    names = names.select(F.trim(F.regexp_replace("x", r"\s*[<(].*$", "")).alias("name")).filter(F.col("name").rlike(r"^\p{Lu}[\p{L}'’-]+( [\p{L}'’-]+){1,4}$"))
-    rows = names.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(at_most).collect()
-    return [(r["name"], int(r["n"])) for r in rows]
+    names = names.select(F.trim(F.regexp_replace("x", r"\s*[<(].*$", "")).alias("name")).filter(F.col("name").rlike(_FULL))
+    parts = F.split(F.lower("name"), " ")
+    words = names.select(F.explode(F.array(F.struct(parts[0].alias("word"), F.lit(True).alias("given")), F.struct(F.element_at(parts, -1).alias("word"), F.lit(False).alias("given")))).alias("w")).select("w.*")
+    counted = words.groupBy("word").agg(F.count_if("given").alias("g"), F.count_if(~F.col("given")).alias("f"))
+    given = counted.filter((F.col("g") >= LEAST_HEADERS) & (F.col("g") > F.col("f") / 2)).collect()
+    family = counted.filter("f > 0").orderBy(F.desc("f"), "word").limit(FAMILY_NAMES).collect()
+    return {r["word"]: int(r["g"]) for r in given}, {r["word"]: int(r["f"]) for r in [*given, *family] if r["f"]}
+
+
+def names_in_headers(text: str) -> set[tuple[str, str]]:
+    """(given, family) of a text's headers, lower case."""
+    out = set()
+    for line in re.findall(r"(?m)^(?:From|To|Cc|Attendees): ([^\n]*)", text):
+        for x in re.split(r",\s*", line):
+            parts = re.sub(r"\s*[<(].*$", "", x).strip().split(" ")
+            if 2 <= len(parts) <= 5 and parts[0][:1].isupper() and all(_WORD.fullmatch(p) for p in parts):
+                out.add((parts[0].lower(), parts[-1].lower()))
+    return out
 
 
 def fit(texts: DataFrame, people: DataFrame, at_most: int = TRAIN_TEXTS) -> Model:
     """Fit on at most `at_most` texts, half of them of 400 characters or more, because names repeat there; texts: (text)."""
     t = texts.filter("text is not null").select("text")
     parts = [hash_sample(t.filter(cond), F.col("text"), at_most // 4) for cond in ("length(text) >= 400", "length(text) < 400")]
-    sample = sorted(r["text"] for p in parts for r in p.collect())
-    full = [r["full_name"] for r in people.filter("full_name is not null").select("full_name").limit(FAMILY_NAMES).collect()]
-    return train(sample, full, header_names(texts.filter("text is not null")))
+    sample = sorted(r["t"] for p in parts for r in p.select(F.substring("text", 1, TRAIN_CHARS).alias("t")).collect())
+    full = [r["full_name"] for r in people.filter("full_name is not null").select("full_name").collect()]  # a fixed table
+    given, family = header_words(t)
+    known = {x for s in sample for x in names_in_headers(s)}
+    return train(sample, full, given, family, {x for x in known if family.get(x[1], 0) > 0})
 
 
 def find_pii(texts: DataFrame, model: Model) -> DataFrame:
