@@ -2,8 +2,9 @@
 
 A transcript of any layout (cues with or without voice tags, timed or plain lines, label lines) is parsed into segments.
 Whether a segment begins a new turn is a boosted-tree decision over its label, the gap and the context, learned from
-transcripts whose labels are certain. Filler words are classified per token, from how often a token of a language is
-set off the way hesitations are. Labels of all spellings of a speaker give one name.
+transcripts whose labels are certain. Filler words are classified per token, by a model of how a language's tokens are used in all
+transcripts: how often they are set off the way hesitations are, open a turn, stand alone, and in how many languages
+they do so. Labels of all spellings of a speaker give one name.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from pyspark.sql import functions as F
 from quillspark.llm.boosting import BoostedTrees
 from quillspark.sources.tables import hash_sample
 
-#: Transcripts that the models are fitted on at most; everything else covers all of them.
-TRAIN_TRANSCRIPTS = 1500
+#: Transcripts that the boundary model is fitted on at most, and the characters read of each; everything else covers all of them.
+TRAIN_TRANSCRIPTS, TRAIN_CHARS = 1500, 200_000
+#: A token is judged if it is set off so many times and in such a share of its uses; from SURE on it is an example of a filler, up to DOUBTFUL of
+#: a word. Both classes must have LEAST_EXAMPLES, else the share between them decides.
+LEAST_SET_OFF, LEAST_SHARE, DOUBTFUL, SURE, LEAST_EXAMPLES, BETWEEN = 3, 0.005, 0.06, 0.3, 8, 0.12
 BUCKETS = 1 << 15
 
 _T = r"(?:\d{1,3}:)?\d{1,2}:\d{2}(?:[.,]\d{1,6})?"
@@ -225,13 +229,70 @@ _SET_OFF = re.compile(r"(?<![\w'’-])([^\W\d_]+(?:[-'’][^\W\d_]+)*)(\.\.\.|
 _TOKEN = re.compile(r"(?<![\w'’-])[^\W\d_]+(?:[-'’][^\W\d_]+)*(?![\w'’-])")
 
 
-def train(contents: list[str]) -> Model:
-    """Fit all three models on transcripts. Labels of voice tags and label lines are certain; they are also written
+def token_uses(items: DataFrame, text_col: str) -> DataFrame:
+    """(language, token, n, off, first, alone): over all transcripts, how often a token is used, set off, opens a segment and stands alone in it."""
+    rows = items.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            c: dict[tuple[str, str], list[int]] = {}
+            for content in batch["text"]:
+                t = parse(content)
+                for g in t.segments:
+                    said = g.text if g.certain or not g.label else g.text[len(g.label) :].lstrip(" :-–—")
+                    words = [m.group().lower() for m in _TOKEN.finditer(g.text)]
+                    for w in words:
+                        c.setdefault((t.language, w), [0, 0, 0, 0])[0] += 1
+                    for m in _SET_OFF.finditer(g.text):
+                        c.setdefault((t.language, m[1].lower()), [0, 0, 0, 0])[1] += 1
+                    if opening := _TOKEN.search(said):
+                        x = c.setdefault((t.language, opening.group().lower()), [0, 0, 0, 0])
+                        x[2] += 1
+                        x[3] += _EDGE.sub("", said) == opening.group()
+            yield pd.DataFrame([(*k, *v) for k, v in c.items()], columns=["language", "token", "n", "off", "first", "alone"])
+
+    counted = rows.mapInPandas(go, "language string, token string, n long, off long, first long, alone long")
+    return counted.groupBy("language", "token").agg(*[F.sum(x).alias(x) for x in ("n", "off", "first", "alone")])
+
+
+def classify_tokens(uses: list[tuple[str, str, int, int, int, int]]) -> dict[str, frozenset[str]]:
+    """Fillers per language among (language, token, n, off, first, alone).
+
+    A logistic model of a token's uses is fitted on those that are plainly fillers or plainly words, and applied to all. What
+    hesitates in two languages does so in all, unless it is a common word of this one.
+    """
+    share = {(k, w): off / max(1, n) for k, w, n, off, *_ in uses}
+    langs = Counter(w for k, w, *_ in uses if share[k, w] >= BETWEEN)
+    x = np.array([[1.0, min(1.0, off / max(1, n)), first / max(1, n), alone / max(1, n), len(w) <= 4, langs[w] > 1] for k, w, n, off, first, alone in uses]).reshape(-1, 6)
+    s = x[:, 1]
+    sure, doubtful = s >= SURE, s <= DOUBTFUL
+    filler = s >= BETWEEN
+    if sure.sum() >= LEAST_EXAMPLES and doubtful.sum() >= LEAST_EXAMPLES:
+        known = sure | doubtful
+        z, y, w = x[known], sure[known].astype(float), np.zeros(6)
+        weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+        for _ in range(2000):
+            w += 2.0 * (z.T @ (weight * (y - 1 / (1 + np.exp(-z @ w)))) / len(y) - 1e-4 * w)
+        filler = x @ w > 0
+    out = {k: {u[1] for u, is_filler in zip(uses, filler) if is_filler and u[0] == k} for k in _COMMON}
+    everywhere = Counter(w for v in out.values() for w in v)
+    known_share = {k: share for k, share in share.items()}
+    for k in out:
+        out[k] |= {w for w, n in everywhere.items() if n >= 2 and known_share.get((k, w), 1.0) >= 0.05}
+    return {k: frozenset(v) for k, v in out.items()}
+
+
+def learn_fillers(items: DataFrame, text_col: str) -> dict[str, frozenset[str]]:
+    """Fillers per language, from the uses of all tokens in all transcripts; only tokens that are set off often enough come back."""
+    often = token_uses(items, text_col).filter((F.col("off") >= LEAST_SET_OFF) & (F.col("off") >= LEAST_SHARE * F.col("n")))
+    return classify_tokens(sorted(tuple(r) for r in often.collect()))
+
+
+def train(contents: list[str], fillers: dict[str, frozenset[str]]) -> Model:
+    """Fit the boundary model on transcripts. Labels of voice tags and label lines are certain; they are also written
     as `Label: text` lines, which with cut and unlabelled speech gives cases for every layout."""
     parsed = [parse(c) for c in contents if c]
     label, content = np.ones(BUCKETS), np.ones(BUCKETS)
-    off: dict[str, Counter] = {k: Counter() for k in _COMMON}
-    all_: dict[str, Counter] = {k: Counter() for k in _COMMON}
     for t in parsed:
         for x in t.present:
             label[_bucket(x)] += 1
@@ -243,12 +304,6 @@ def train(contents: list[str]) -> Model:
                     if m := _LABELLED.match(s):
                         content[_bucket(speaker_name(m[1]))] += 1
                         content[_bucket(m[1].split()[0].lower())] += 1
-            off[t.language].update(m[1].lower() for m in _SET_OFF.finditer(g.text))
-            all_[t.language].update(m.group().lower() for m in _TOKEN.finditer(g.text))
-    fillers = {k: frozenset(w for w, n in off[k].items() if n >= 3 and n >= 0.12 * all_[k][w]) for k in _COMMON}
-    everywhere = Counter(w for v in fillers.values() for w in v)
-    for k in fillers:  # what hesitates in two languages does so in all, unless it is a common word of this one
-        fillers[k] |= frozenset(w for w, n in everywhere.items() if n >= 2 and all_[k][w] * 0.05 <= off[k][w])
     odds = np.log(label / content)
     xs, ys = [], []
     for t in parsed:
@@ -316,8 +371,10 @@ def turns(t: Transcript, boundary: np.ndarray, fillers: frozenset[str]) -> list[
 
 
 def training_sample(items: DataFrame, text_col: str, at_most: int = TRAIN_TRANSCRIPTS) -> list[str]:
-    """At most `at_most` transcripts, chosen by a hash of their text, the same ones on every run."""
-    some = hash_sample(items.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")), F.col("text"), at_most // 2)
+    """At most `at_most` different transcripts, chosen by a hash of their text, the same ones on every run; TRAIN_CHARS of each."""
+    texts = items.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    chosen = hash_sample(texts.select("h").distinct(), F.col("h"), at_most // 2)  # copies of one text count once
+    some = texts.join(F.broadcast(chosen), "h").groupBy("h").agg(F.first(F.substring("text", 1, TRAIN_CHARS)).alias("text"))  # at most `at_most` hashes
     return sorted(r.text for r in some.collect())
 
 

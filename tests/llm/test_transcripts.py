@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from quillspark.llm.boosting import BoostedTrees
-from quillspark.llm.transcripts import clean_words, parse, speaker_name, speaker_turns, train, turns, features
+from quillspark.llm.transcripts import classify_tokens, clean_words, features, parse, speaker_name, learn_fillers, speaker_turns, train, training_sample, turns
 
 EN = frozenset(["um", "uh", "mhm", "er"])
 
@@ -37,8 +37,9 @@ def run(model, text):
 
 
 @pytest.fixture(scope="module")
-def model():
-    return train(sample())
+def model(spark):
+    fillers = learn_fillers(spark.createDataFrame([(t,) for t in sample()] + [(None,), ("",)], "content string"), "content")
+    return train(sample(), fillers)
 
 
 def test_models_learn(model):
@@ -71,3 +72,19 @@ def test_frame(spark, model):
     no = [r.turn_no for r in rows if r.raw_id == "a"]
     assert sorted(no) == list(range(1, len(no) + 1))
     assert speaker_turns(df.filter("false"), "raw_id", "content", model).count() == 0
+
+
+def test_token_classifier():
+    rng = np.random.default_rng(3)
+    fillers = [("en", f"um{k}", 100, int(rng.integers(35, 60)), 40, int(rng.integers(10, 30))) for k in range(12)]
+    words = [("en", f"word{k}", 1000, int(rng.integers(5, 40)), int(rng.integers(0, 90)), 0) for k in range(40)]
+    # the same share set off: one token opens segments and stands alone, the other doesn't
+    got = classify_tokens([*fillers, *words, ("en", "hm", 100, 20, 45, 25), ("en", "shipping", 100, 9, 1, 0)])["en"]
+    assert {w for _, w, *_ in fillers} <= got and not {w for _, w, *_ in words} & got and "hm" in got and "shipping" not in got
+    assert classify_tokens([])["de"] == frozenset()
+
+
+def test_sample_counts_copies_once(spark):
+    rows = [("same text " * 5,)] * 300 + [(f"text {k}",) for k in range(20)]
+    got = training_sample(spark.createDataFrame(rows, "content string"), "content", 60)
+    assert len(got) == len(set(got)) == 21
