@@ -175,7 +175,7 @@ def a12_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 def a34_over_budget(spark: SparkSession, d: str) -> DataFrame:
     m = memos(spark, d, text.estimated_tokens(F.col("body")).alias("t"))
-    return m.groupBy("source").agg(F.count("*").alias("n"), F.count_if("t > 200").alias("over_budget"), F.max("t").alias("largest"))
+    return m.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("t") > 200).alias("over_budget"), F.max("t").alias("largest"))
 
 
 def a27_agreement(spark: SparkSession, d: str) -> DataFrame:
