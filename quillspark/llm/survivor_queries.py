@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.survivors import golden_records, judge_values, resolve_events, survivors
+from quillspark.llm.survivors import agreement, golden_records, judge_values, resolve_events, survivors
 from quillspark.operators.timestamps import utc_micros
 from quillspark.plans.session import materialise
 from quillspark.sources.tables import kind_key, latest_rows, table
@@ -32,5 +32,10 @@ def p2_source_quality(spark: SparkSession, d: str) -> DataFrame:
     return judge_values(members)[1].select("source", F.round("sensitivity", 6).alias("sensitivity"), F.round("specificity", 6).alias("specificity"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p2_source_quality": p2_source_quality}
+def p2_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """How often the surviving value of a field is also the quality model's choice."""
+    return agreement(event_members(spark, d))
+
+
+QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p2_source_quality": p2_source_quality, "p2_agreement": p2_agreement}
 

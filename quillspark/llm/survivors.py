@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.plans.session import materialise
+from quillspark.plans.session import discard, materialise
 
 # Texts that only stand for "no value", compared in lower case without surrounding blanks.
 NO_VALUE = ["", "null", "none", "n/a", "na", "-", "--", "...", "???", "??", "?", "tbd", "untitled", "(no title)", "unknown", "nan", "nil"]
@@ -78,17 +78,15 @@ def survivors(members: DataFrame, least: int = 2) -> DataFrame:
     return best.select("event", F.explode(pairs).alias("x")).select("event", "x.field", "x.memo_id").filter("memo_id is not null")
 
 
-def judge_values(members: DataFrame, prior: float = 0.5, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(values: event, value, posterior, n_sources) and (quality: source, sensitivity, specificity) of the multi-valued tags.
+def judge_claims(claims: DataFrame, covers: DataFrame, prior: float = 0.5, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(values: event, value, posterior, n_sources) and (quality: source, sensitivity, specificity) of claims (event, source, value).
 
-    A source covers an event if it has a member there. Of each value stated in the event a covering source either
+    covers: (event, source) of the sources that could have stated a value. Of each value stated in an event a covering source either
     states it or doesn't. E-step: the posterior of a value from its sources' qualities; M-step: the qualities from the
     posteriors, smoothed by one pseudo-observation each way. Statements of one source in one event count once.
     """
-    m = members.filter("event is not null").select("event", "source", real_tags(F.col("tags")).alias("tags"))
-    covers = m.select("event", "source").distinct()
-    stated = m.select("event", "source", F.explode("tags").alias("tag")).select("event", "source", F.lower(F.trim("tag")).alias("value")).distinct()
-    obs = stated.select("event", "value").distinct().join(covers, "event").join(stated.withColumn("said", F.lit(1)), ["event", "value", "source"], "left").fillna(0, ["said"])
+    stated = claims.select("event", "source", "value").distinct()
+    obs = stated.select("event", "value").distinct().join(covers.distinct(), "event").join(stated.withColumn("said", F.lit(1)), ["event", "value", "source"], "left").fillna(0, ["said"])
     obs = materialise(obs, "p2-observations")
     quality = obs.groupBy("source").agg(F.lit(0.6).alias("sensitivity"), F.lit(0.8).alias("specificity"))
     values = None
@@ -97,15 +95,46 @@ def judge_values(members: DataFrame, prior: float = 0.5, rounds: int = 8) -> tup
         yes = F.when(F.col("said") == 1, F.ln("sensitivity")).otherwise(F.ln(1 - F.col("sensitivity")))
         no = F.when(F.col("said") == 1, F.ln(1 - F.col("specificity"))).otherwise(F.ln("specificity"))
         logit = F.sum(yes - no) + math.log(prior / (1 - prior))
+        old = values
         values = o.groupBy("event", "value").agg((1 / (1 + F.exp(-logit))).alias("posterior"), F.sum("said").alias("n_sources"))
         values = materialise(values, "p2-values")
         j = obs.join(values.select("event", "value", "posterior"), ["event", "value"])
         p, q, said = F.col("posterior"), 1 - F.col("posterior"), F.col("said")
+        before = quality
         quality = j.groupBy("source").agg(((F.sum(p * said) + 1) / (F.sum(p) + 2)).alias("sensitivity"), ((F.sum(q * (1 - said)) + 1) / (F.sum(q) + 2)).alias("specificity"))
         quality = materialise(quality, "p2-quality")
+        if old is not None:
+            discard(old)
+            discard(before)
     return values, quality
 
 
+def judge_values(members: DataFrame, prior: float = 0.5, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+    """judge_claims of the multi-valued tags: a source covers an event if it has a member there."""
+    m = members.filter("event is not null").select("event", "source", real_tags(F.col("tags")).alias("tags"))
+    claims = m.select("event", "source", F.explode("tags").alias("tag")).select("event", "source", F.lower(F.trim("tag")).alias("value"))
+    return judge_claims(claims, m.select("event", "source"), prior, rounds)
+
+
+def agreement(members: DataFrame, least: int = 2) -> DataFrame:
+    """(field, n, n_agree, n_open): how often the value that survives by trust is one that the quality model finds at least as likely as any other.
+
+    Every field's values are claims of their sources, single-valued ones by the digest of their text; n counts the (event, field) pairs in
+    which anything survives, n_open those where sources state different values, so that there was a choice.
+    """
+    m = materialise(members.filter("event is not null").select("event", "id", "source", "authority", "micros", "title", "summary", "tags", "body"), "p2-members")
+    tags = F.array_join(F.array_sort(F.transform(real_tags(F.col("tags")), lambda t: F.lower(F.trim(t)))), "|")
+    cells = {f: F.when(has_value(F.col(f)), F.col(f)) for f in ("title", "summary", "body")} | {"tags": tags}
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.xxhash64(c).alias("value"), c.isNotNull().alias("there")) for f, c in cells.items()])).alias("x")
+    stated = m.select("event", "id", "source", each).select("event", "id", "source", "x.*").filter("there")
+    stated = materialise(stated.select(F.struct("event", "field").alias("event"), "id", "source", "value"), "p2-claims")
+    values, _ = judge_claims(stated, stated.select("event", "source"))
+    best = values.groupBy("event").agg(F.max("posterior").alias("most"), F.count("*").alias("n_values"))
+    kept = survivors(m, least).filter("field <> 'id'").select(F.struct("event", "field").alias("event"), F.col("memo_id").alias("id"))
+    chosen = kept.join(stated.select("event", "id", "value"), ["event", "id"]).join(values.select("event", "value", "posterior"), ["event", "value"]).join(best, "event")
+    return chosen.groupBy(F.col("event.field").alias("field")).agg(F.count("*").alias("n"), F.count_if(F.col("posterior") >= F.col("most") - 1e-9).alias("n_agree"), F.count_if(F.col("n_values") > 1).alias("n_open"))
+
+
 def golden_records(members: DataFrame, least: int = 2, keep: float = 0.5) -> DataFrame:
     """One record per event: the surviving single values, and all tags judged true (posterior >= keep); if none is, the surviving memo's tags."""
     s = materialise(survivors(members, least), "p2-survivors")

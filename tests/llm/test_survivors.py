@@ -38,3 +38,15 @@ def test_truth_model_finds_the_bad_source(spark):
     assert values.filter("value like 'lie%' and posterior > 0.5").count() == 0 and values.filter("value like 'u%' and posterior > 0.9").count() == 60
     rec = golden_records(df).filter("event = 'e3'").first()
     assert rec.tags == ["t3", "u3", "w3"] and rec.memo_id == "good1-3"
+
+
+def test_agreement_counts_choices(spark):
+    from quillspark.llm.survivors import agreement
+
+    rows = []
+    for k in range(30):  # two sources that say the same against one, most trusted, that is always alone
+        rows += [(f"e{k}", f"a{k}", "good", 2, 1, "Plan", None, ["x"], "b"), (f"e{k}", f"b{k}", "also", 3, 1, "Plan", None, ["x"], "b"), (f"e{k}", f"c{k}", "odd", 1, 1, f"Odd {k}", None, ["x"], "b")]
+    df = spark.createDataFrame(rows, "event string, id string, source string, authority int, micros long, title string, summary string, tags array<string>, body string")
+    got = {r.field: r for r in agreement(df).collect()}
+    assert (got["title"].n, got["title"].n_agree, got["title"].n_open) == (30, 0, 30)
+    assert (got["body"].n, got["body"].n_agree, got["body"].n_open) == (30, 30, 0) and "summary" not in got
