@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.containers import document_items, fill_containers
 from quillspark.llm.mixing import draw, reached_shares
 from quillspark.llm.splitting import split_pieces
-from quillspark.llm.tokens import token_count
+from quillspark.llm.tokens import configured, token_count
 from quillspark.plans.session import materialise
 from quillspark.sources.tables import kind_key, table
 
@@ -26,13 +26,13 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     limit, overlap = limits(spark, d, "piece")
-    return split_pieces(table(spark, d, "documents"), "doc_id", "text", limit, overlap).withColumnRenamed("size", "n_tokens")
+    return split_pieces(table(spark, d, "documents"), "doc_id", "text", limit, overlap, configured(spark)).withColumnRenamed("size", "n_tokens")
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     capacity, _ = limits(spark, d, "container")
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    packed = fill_containers(document_items(docs, capacity), capacity)
+    packed = fill_containers(document_items(docs, capacity, configured(spark)), capacity)
     return packed.select("container_id", F.col("item").alias("doc_id"), F.col("part").alias("piece_no"), F.col("size").alias("n_tokens"), F.col("filled").alias("container_tokens"))
 
 
@@ -44,7 +44,7 @@ def _targets(spark: SparkSession, d: str) -> DataFrame:
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", kind_key("source").alias("source"), "text")
     wanted = docs.join(F.broadcast(_targets(spark, d).select("source")), "source", "left_semi")
-    return wanted.select("doc_id", "source", token_count(F.col("text")).alias("size"))
+    return wanted.select("doc_id", "source", token_count(F.col("text"), configured(spark)).alias("size"))
 
 
 def p9_copies(spark: SparkSession, d: str) -> DataFrame:

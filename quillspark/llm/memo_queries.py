@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.near_duplicates import best_match_clusters, groups, near_pairs
+from quillspark.llm.near_duplicates import best_match_clusters, groups, near_pairs, settle_events
 from quillspark.operators.timestamps import utc_micros
 from quillspark.plans.session import materialise
-from quillspark.sources.tables import latest_rows, table
+from quillspark.sources.tables import kind_key, latest_rows, table
 
 #: Score from which a memo joins the cluster of another.
 CLUSTER = 0.55
@@ -32,4 +32,14 @@ def st1_clusters(spark: SparkSession, d: str) -> DataFrame:
     return best_match_clusters(materialise(near_pairs(rows, CLUSTER).select("memo_a", "memo_b", "score"), "st1-pairs"), rows)
 
 
-QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups, "st1_clusters": st1_clusters}
+def st1_events(spark: SparkSession, d: str) -> DataFrame:
+    """What clustering settles per memo: its event, whether it is canonical, was seeded with the event or demoted."""
+    clusters = materialise(st1_clusters(spark, d), "st1-clusters")
+    m = latest_rows(table(spark, d, "memos").select("id", "event_id", "source_kind", "created_at", "is_canonical_for_event", "modified_at"), "id", "modified_at")
+    trust = table(spark, d, "source_authority").groupBy(kind_key("source_kind").alias("source")).agg(F.min("authority").alias("authority"))
+    m = m.withColumn("source", kind_key("source_kind")).join(F.broadcast(trust), "source", "left")  # a fixed table
+    rows = m.select("id", F.nullif(kind_key("event_id"), F.lit("")).alias("event"), F.coalesce("authority", F.lit(5)).alias("authority"), utc_micros(F.col("created_at")).alias("t"), F.col("is_canonical_for_event").alias("flagged"))
+    return settle_events(clusters, rows)
+
+
+QUERIES = {"st1_events": st1_events, "p5_found": p5_found, "p5_groups": p5_groups, "st1_clusters": st1_clusters}

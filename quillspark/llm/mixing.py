@@ -75,15 +75,24 @@ def land(units: pd.DataFrame, room: float) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": units["doc_id"], "pi": units["doc_id"].isin(chosen).astype(float)})
 
 
-def plan_quotas(docs: DataFrame, targets: DataFrame, total: int) -> DataFrame:
-    """Per target source: tokens and documents at hand, its quota of tokens (what max_repeats uses of all its documents can give, at most), and copies per document."""
+def plan_quotas(docs: DataFrame, targets: DataFrame, total: int, keep_shares: bool = False) -> DataFrame:
+    """Per target source: tokens and documents at hand, its quota of tokens (what max_repeats uses of all its documents can give, at most), and copies per document.
+
+    A source that can't fill its share leaves the mixture short and the shares of the others high. With keep_shares the whole mixture shrinks
+    to what the scarcest source that has documents can fill its share of.
+    """
     have = docs.groupBy("source").agg(F.sum("size").alias("tokens"), F.count("*").alias("documents"))
     q = targets.join(have, "source", "left").fillna(0, ["tokens", "documents"])
-    quota = F.least(F.col("target_share") * F.lit(float(total)), (F.col("max_repeats") * F.col("tokens")).cast("double"))
+    most = F.lit(float(total))
+    if keep_shares:
+        scarce = q.filter("tokens > 0 and target_share > 0").agg(F.min(F.col("max_repeats") * F.col("tokens") / F.col("target_share")).alias("most"))  # one row
+        q = q.crossJoin(F.broadcast(scarce))
+        most = F.least(most, F.coalesce("most", most))
+    quota = F.least(F.col("target_share") * most, (F.col("max_repeats") * F.col("tokens")).cast("double"))
     return q.select("source", "target_share", "max_repeats", "tokens", "documents", quota.alias("quota"), F.when(F.col("tokens") > 0, quota / F.col("tokens")).otherwise(0.0).alias("copies"))
 
 
-def draw(docs: DataFrame, targets: DataFrame, total: int, seed: int = 42) -> DataFrame:
+def draw(docs: DataFrame, targets: DataFrame, total: int, seed: int = 42, keep_shares: bool = False) -> DataFrame:
     """(doc_id, source, size, expected, copies) for every document of a target source.
 
     docs: (doc_id BIGINT unique, source STRING, size BIGINT); targets: (source STRING unique, target_share, max_repeats).
@@ -93,7 +102,7 @@ def draw(docs: DataFrame, targets: DataFrame, total: int, seed: int = 42) -> Dat
     rows flies in many blocks.
     """
     docs = materialise(docs.filter("doc_id is not null and size > 0").select("doc_id", "source", "size"), "p9-docs")
-    plan = materialise(plan_quotas(docs, targets, total), "p9-plan")
+    plan = materialise(plan_quotas(docs, targets, total, keep_shares), "p9-plan")
     units = docs.join(F.broadcast(plan.select("source", "copies")), "source")  # one row per row of mix_targets, a fixed table
     units = units.withColumns({"base": F.floor("copies"), "pi": F.col("copies") - F.floor("copies")})
     units = materialise(units, "p9-units")

@@ -193,6 +193,25 @@ def groups(rows: DataFrame, threshold: float = 0.8, cosine_weight: float = 0.7,
     return r.select("id", F.coalesce("group_id", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
 
 
+def settle_events(clusters: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, event, canonical, seeded, demoted) of rows (id, event, authority, t, flagged) by their clusters (id, cluster_id).
+
+    A cluster's event is the one that its founder names, else one made from the founder's id, with which members without an event are
+    seeded. Canonical is the member of the lowest authority, then the earliest t (null last), then the smallest id; a flagged member that
+    isn't canonical is demoted. Rows alone in their cluster stay as they are, flagged or not.
+    """
+    m = clusters.select("id", "cluster_id").join(rows.select("id", "event", "authority", "t", "flagged"), "id")
+    rank = F.struct("authority", F.coalesce("t", F.lit(2**62)).alias("t"), "id")
+    heads = m.groupBy("cluster_id").agg(F.min(rank)["id"].alias("best"), F.max(F.when(F.col("id") == F.col("cluster_id"), F.col("event"))).alias("named"), F.count("*").alias("n"))
+    made = F.coalesce("named", F.concat(F.lit("evt-"), F.substring(F.sha2("cluster_id", 256), 1, 16)))
+    j = m.join(heads.hint("merge"), "cluster_id")
+    alone, canonical = F.col("n") == 1, F.col("id") == F.col("best")
+    return j.select(
+        "id", F.when(alone, F.col("event")).otherwise(F.coalesce("event", made)).alias("event"), F.when(alone, F.coalesce("flagged", F.lit(False))).otherwise(canonical).alias("canonical"),
+        (~alone & F.col("event").isNull()).alias("seeded"), (~alone & F.coalesce("flagged", F.lit(False)) & ~canonical).alias("demoted"),
+    )
+
+
 def best_match_clusters(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Incremental clusters: each arriving row joins the cluster of its single best match among the rows before it, or founds one.
 

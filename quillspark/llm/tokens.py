@@ -8,15 +8,21 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Where the vocabulary lies if spark.quillspark.tokenizer doesn't say: a path that every worker can read.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+SETTING = "spark.quillspark.tokenizer"
 # Fixed value: how the vocabulary's texts were split into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def configured(spark: SparkSession) -> str:
+    return spark.conf.get(SETTING, TOKENIZER)
+
+
 @lru_cache(maxsize=4)
 def encoding(path: str = TOKENIZER):
     import tiktoken

@@ -113,3 +113,13 @@ def test_landing_stays_within_room():
     u = pd.DataFrame({"source": ["a", "a", "b"], "doc_id": [1, 2, 3], "size": [100, 60, 80], "pi": [0.6, 0.6, 0.9]})
     got = land(u, 150.0).set_index("doc_id")["pi"]
     assert (got * u.set_index("doc_id")["size"]).sum() <= 150
+
+
+def test_shares_can_be_kept(spark):
+    from quillspark.llm.mixing import plan_quotas
+
+    docs = spark.createDataFrame([(k, "big" if k < 900 else "small", 10) for k in range(910)], "doc_id long, source string, size long")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 2), ("none", 0.0, 1)], "source string, target_share double, max_repeats int")
+    short = {r.source: r.quota for r in plan_quotas(docs, targets, 2000).collect()}
+    kept = {r.source: r.quota for r in plan_quotas(docs, targets, 2000, keep_shares=True).collect()}
+    assert (short["big"], short["small"]) == (1000.0, 200.0) and (kept["big"], kept["small"]) == (200.0, 200.0)

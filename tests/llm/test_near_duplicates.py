@@ -4,7 +4,7 @@ from math import sqrt
 import numpy as np
 
 from quillspark.llm import blocks
-from quillspark.llm.near_duplicates import DAY, best_match_clusters, groups, near_pairs
+from quillspark.llm.near_duplicates import DAY, best_match_clusters, groups, near_pairs, settle_events
 from quillspark.llm.sketch import joint_jaccard, registers
 
 
@@ -123,3 +123,23 @@ def test_groups_by_the_closest_neighbours(spark):
         got = {r["id"]: r.group_id for r in groups(df).collect()}
         pairs = {(r.memo_a, r.memo_b) for r in near_pairs(df).collect()}
         assert (got["b1"] == "a1") == any(score(x[2], y[2], x[1], y[1]) >= 0.8 for x in rows[:2] for y in rows[2:]) == bool(pairs & {("a1", "b1"), ("a2", "b1")}), (near, linked)
+
+
+def test_events_are_settled(spark):
+    clusters = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "e"), ("f", "e")], "id string, cluster_id string")
+    rows = [("a", None, 2, 5, True), ("b", "evt-9", 1, 9, None), ("c", None, 1, None, True), ("d", None, 1, 1, True), ("e", "evt-e", 3, 1, True), ("f", None, 3, 2, False)]
+    df = spark.createDataFrame(rows, "id string, event string, authority int, t long, flagged boolean")
+    got = {r["id"]: (r.event if r.event in (None, "evt-9", "evt-e") else "made", r.canonical, r.seeded, r.demoted) for r in settle_events(clusters, df).collect()}
+    assert got == {
+        "a": ("made", False, True, True), "b": ("evt-9", True, False, False), "c": ("made", False, True, True), "d": (None, True, False, False),
+        "e": ("evt-e", True, False, False), "f": ("evt-e", False, True, False),
+    }
+
+
+def test_scores_of_the_same_event_and_of_a_later_one(spark):
+    # one event told by two sources scores far above 0.55; a follow-up a week later with the same frame stays below
+    talk = {w: 1 for w in "decided move billing service cluster friday rollback owner latency budget".split()}
+    same, later = talk | {"thread": 1}, {w: 1 for w in "decided cancel invoice tool quarter monday freeze owner latency cost".split()}
+    rows = [("mail", 0, talk), ("slack", DAY, same), ("later", 8 * DAY, later)]
+    got = {(r.memo_a, r.memo_b): round(r.score, 4) for r in near_pairs(spark.createDataFrame(rows, "id string, t long, tokens map<string,int>"), 0.55).collect()}
+    assert set(got) == {("mail", "slack")} and abs(got["mail", "slack"] - score(talk, same, 0, DAY)) < 1e-4
