@@ -12,8 +12,8 @@ these those then""".split()
 
 
 def terms(text: Column, least: int = 3) -> Column:
-    """Lower-case words of letters, digits, _ and - with `least` characters or more, without stopwords, with repeats."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_\-]{%d,}" % least), F.lit(0))
+    """Lower-case words of letters, digits, _ and, inside, - with `least` characters or more (three at least), without stopwords, with repeats."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_][\p{L}\p{N}_\-]{%d,}[\p{L}\p{N}_]" % (least - 2)), F.lit(0))
     return F.filter(words, lambda w: ~w.isin(STOPWORDS))
 
 

@@ -217,7 +217,7 @@ _SECTIONS = r"""l as (select doc_id, unnest(string_split(regexp_replace(text, '\
 _KEYS = """k as (select ref_no, batch_no, source_name, case when source_name = 'slack' then 'slack:' || id else source_name || ':' || substr(sha256(coalesce(content, '')), 1, 16) end as key
  from (select *, row_number() over (partition by ref_no order by arrived_at desc) as rn from harvest_items) where rn = 1)"""
 ORACLES = {
-    "f1_terms": f"""with t as (select doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_\\-]{{3,}}'), lambda w: not list_contains({_STOP}, w))) as term from documents),
+    "f1_terms": f"""with t as (select doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_\\-]+[\\p{{L}}\\p{{N}}_]'), lambda w: not list_contains({_STOP}, w))) as term from documents),
  p as (select term, doc_id, count(*) as tf from t group by 1, 2) select term, count(*) as df, sum(tf)::bigint as total from p group by 1 having count(*) >= 2""",
     "f3_slugs": _MEMOS + r""" select id, coalesce(nullif(substr(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^\p{L}\p{N}_\s\-]', '', 'g'), '[\s_]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), ''), 'untitled') as slug, """ + _PLAIN.format("coalesce(title, '')") + " as plain from m",
     "f4_token_estimates": "select lower(trim(source, ' ')) as source, count(*) as n, sum(length(coalesce(text, '')) // 4)::bigint as tokens, count(*) filter (coalesce(n_chars <> length(text), true)) as n_wrong_chars from documents group by 1",
