@@ -144,3 +144,34 @@ def first_topic(query: Column, topics: list[str]) -> Column:
 def live_reason(hits: Column, topic: Column) -> Column:
     """zero_hit where memory has nothing, else topic_pinned where a topic matches, else null."""
     return F.when(hits == 0, "zero_hit").when(topic.isNotNull(), "topic_pinned")
+
+
+def strictly_true(text: Column) -> Column:
+    """Whether a text says true or yes, whatever its case and the blanks around it; numbers, other words and null don't."""
+    return F.coalesce(F.lower(F.trim(text)).isin("true", "yes"), F.lit(False))
+
+
+def reference_error(uri: Column) -> Column:
+    """What keeps a text from being an `art://` reference: missing, scheme, empty, long (over 128 characters), shape; null if it is one."""
+    body = F.substring(uri, 7, 2**31 - 1)
+    return (
+        F.when(F.coalesce(F.trim(uri), F.lit("")) == "", "missing").when(~uri.startswith("art://"), "scheme").when(body == "", "empty")
+        .when(F.length(body) > 128, "long").when(~body.rlike(r"\A[A-Za-z0-9_-]+\z"), "shape")
+    )
+
+
+def glob_pattern(glob: str) -> str:
+    """A path pattern as a regular expression: `*` and `?` stay within a folder, `**/` is any number of folders."""
+    import re
+
+    parts = re.split(r"(\*\*/|\*\*|\*|\?)", glob)
+    return "^" + "".join({"**/": "(?:[^/]+/)*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(p, re.escape(p)) for p in parts) + "$"
+
+
+def literal_type(text: Column) -> Column:
+    """integer, number, boolean or null where a text is such a JSON literal, else text; missing for null and empty texts."""
+    t = F.trim(text)
+    return (
+        F.when(F.coalesce(t, F.lit("")) == "", "missing").when(t.isin("true", "false"), "boolean").when(t == "null", "null")
+        .when(t.rlike(r"\A-?(0|[1-9]\d*)\z"), "integer").when(t.rlike(r"\A-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?\z"), "number").otherwise("text")
+    )

@@ -26,7 +26,7 @@ def decisions(spark: SparkSession, d: str) -> DataFrame:
     return m.select("msg_id", hits.alias("hits"), "topic", markup.live_reason(hits, F.col("topic")).alias("reason"))
 
 
-def p7_live_decisions(spark: SparkSession, d: str) -> DataFrame:
+def live_decisions(spark: SparkSession, d: str) -> DataFrame:
     return decisions(spark, d).groupBy("reason", "topic").agg(F.count("*").alias("n"))
 
 
@@ -134,7 +134,7 @@ def st11_unprocessed(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p7_live_decisions, a7_gap_reasons, a8_live_calls, a10_growth, a16_freshness_states, a19_snapshot, a26_memo_counts, a28_severities, w10_steady_growth, w12_last_errors,
+        live_decisions, a7_gap_reasons, a8_live_calls, a10_growth, a16_freshness_states, a19_snapshot, a26_memo_counts, a28_severities, w10_steady_growth, w12_last_errors,
         j9_idle_sources, st7_late_items, k8_live_artifacts, st11_unprocessed,
     )
 }
@@ -150,7 +150,7 @@ _D = r"""with s as (select msg_id, coalesce(text, '') as text from (select *, ro
  d as (select s.msg_id, coalesce(try_cast(json_extract_string(e.props, '$.k') as bigint) % 5, 0) as hits, substr(t.topic, 1, 64) as topic from s left join t on t.msg_id = s.msg_id left join events e on e.event_id = s.msg_id),
  r as (select *, case when hits = 0 then 'zero_hit' when topic is not null then 'topic_pinned' end as reason from d)"""
 ORACLES = {
-    "p7_live_decisions": _D + " select reason, topic, count(*) as n from r group by 1, 2",
+    "live_decisions": _D + " select reason, topic, count(*) as n from r group by 1, 2",
     "a7_gap_reasons": _D + ", g as (select reason, count(*) as n from r group by 1) select sum(n)::bigint as queries, round(sum(case when reason is not null then n else 0 end) / sum(n), 4) as gap_rate, string_agg(reason || '=' || n, ',' order by reason || '=' || n) filter (reason is not null) as by_reason from g",
     "a8_live_calls": _RUNS + """, c as (select unnest(map_keys(sources)) as source, unnest(map_values(sources)) as x from runs), f as (select source, len(coalesce(x.errors, [])) > 0 as failed, coalesce(x.new, 0) = 0 as nothing from c)
  select source, count(*) as calls, count(*) filter (failed) as error, count(*) filter (not failed and nothing) as empty, count(*) filter (not failed and not nothing) as success, round(count(*) / (select count(*) from runs), 4) as calls_per_run from f group by 1""",
