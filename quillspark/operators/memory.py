@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quillspark.functions import moments, text
 from quillspark.functions.percentiles import exact_percentiles
+from quillspark.operators.timestamp_sql import instants_sql
 from quillspark.operators.timestamps import utc_micros
 from quillspark.sources.tables import kind_key, latest_rows, table
 
@@ -195,6 +196,8 @@ _TOK = "(length(coalesce(body, '')) // 4)"
 _KEEP = ", ".join(f"('{k}', {'null' if v is None else v})" for k, v in KEEP_DAYS.items())
 _WORDS = "['what', 'decided', 'about', 'checkpoint', 'rollback', 'deployment']"
 ORACLES = {
+    "a13_memo_age": _M + ", x as (select *, created_at as t, null::varchar as zone from m), " + instants_sql() + f""", a as (select case when us is not null then 'created_at' else 'modified_at' end as age_source, round((epoch_us({_NOW}) - coalesce(us, epoch_us(modified_at))) / 8.64e10, 2) as age from inst)
+ select age_source, count(age) as n, quantile_cont(age, 0.5) as p50, quantile_cont(age, 0.95) as p95 from a where age is not null group by 1""",
     "m7_expiry": _M + f""" select source, case when not coalesce({_EXP} < {_NOW}, false) then 'not_expired' when coalesce(expiry_locked, false) then 'locked' else 'moved' end as state, count(*) as n, sum({_TOK})::bigint as tokens from m group by 1, 2""",
     "a21_inventory": _M + f""", a as (select *, floor((epoch_us({_NOW}) - epoch_us(modified_at)) / 8.64e10) as days from m)
  select kind, case when days < 30 then '<30d' when days < 90 then '30-90d' when days < 180 then '90-180d' else '>180d' end as age, count(*) as n,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators.timestamp_sql import instants_sql
 from quillspark.operators.timestamps import shape_mask, utc_micros
 from quillspark.sources.tables import table
 
@@ -29,3 +30,11 @@ def p6_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_shapes": p6_shapes}
+
+_X = """with x as (select 'slack_messages' as src, msg_id::varchar as row_key, ts as t, user_tz as zone from slack_messages union all select 'memos', id, created_at, null from memos
+ union all select 'harvest_items', ref_no::varchar, created_at, meta['tz'] from harvest_items), """
+_MASK = r"coalesce(regexp_replace(regexp_replace(tt, '[0-9]', '9', 'g'), '[A-Za-z]', 'A', 'g'), '')"
+ORACLES = {
+    "p6_found": _X + instants_sql() + " select distinct src, row_key, us as utc_micros from inst where us is not null",
+    "p6_shapes": _X + instants_sql() + f" select src, {_MASK} as mask, count(*) as n_texts, count(us) as n_instants from inst group by 1, 2",
+}
