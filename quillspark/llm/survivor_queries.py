@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.survivors import agreement, golden_records, judge_values, resolve_events, survivors
+from quillspark.llm.survivors import FIELDS, NO_VALUE, agreement, golden_records, judge_values, resolve_events, survivors
+from quillspark.operators.timestamp_sql import instants_sql
 from quillspark.operators.timestamps import utc_micros
 from quillspark.plans.session import materialise
 from quillspark.sources.tables import kind_key, latest_rows, table
@@ -39,3 +40,16 @@ def p2_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p2_source_quality": p2_source_quality, "p2_agreement": p2_agreement}
 
+
+_HAS = r"lower(regexp_replace(coalesce({}, ''), '^\s+|\s+$', '', 'g')) not in (" + ", ".join(f"'{v}'" for v in NO_VALUE) + ")"
+_THERE = {f: _HAS.format(f) for f in FIELDS} | {"id": "true", "tags": "len(list_filter(coalesce(tags, []), lambda g: " + _HAS.format("g") + ")) > 0"}
+ORACLES = {
+    "p2_found": "with recursive m as (select * from (select *, row_number() over (partition by id order by modified_at desc) as rn from memos) where rn = 1), ends as (select id, case when "
+    + _HAS.format("event_id") + r" then lower(regexp_replace(event_id, '^\s+|\s+$', '', 'g')) end as event, case when " + _HAS.format("superseded_by") + """ then trim(superseded_by, ' ') end as via from m),
+ walk as (select id, event, case when event is null then via end as nxt from ends union select w.id, e.event, case when e.event is null then e.via end from walk w join ends e on e.id = w.nxt),
+ x as (select m.* exclude (event_id), w.event, created_at as t, null::varchar as zone from m join walk w on w.id = m.id where w.event is not null), """
+    + instants_sql() + """, trust as (select lower(trim(source_kind, ' ')) as source, min(authority) as a from source_authority group by 1),
+ r as (select i.*, count(*) over (partition by i.event) as members, coalesce(trust.a, 2::bigint ** 62) as a, coalesce(-us, 2::bigint ** 62) as late from inst i left join trust on trust.source = lower(trim(i.source_kind, ' '))),
+ f as (""" + " union all ".join(f"select event, id, a, late, '{f}' as field from r where members >= 2 and {_THERE[f]}" for f in ["id", *FIELDS]) + """)
+ select event as event_id, field, id as memo_id from (select *, row_number() over (partition by event, field order by a, late, id) as k from f) where k = 1""",
+}
