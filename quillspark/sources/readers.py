@@ -93,3 +93,18 @@ def accuracy_log(spark: SparkSession, path: str) -> DataFrame:
     t = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.size(parts) >= 12))
     cols = [F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(ACCURACY[:-1])]
     return t.select(*cols, F.coalesce(F.nullif(F.get(parts, F.lit(12)), F.lit("")), F.lit("unknown")).alias(ACCURACY[-1]))
+
+
+def pinned_topics(spark: SparkSession, path: str) -> DataFrame:
+    """(topic): one per line, trimmed; blank lines and those that begin with # don't count, repeats collapse. Topics are configuration, so they may be collected."""
+    t = F.trim("value")
+    return spark.read.text(path).select(t.alias("topic")).filter((F.col("topic") != "") & ~F.col("topic").startswith("#")).distinct()
+
+
+def snapshots(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
+    """Snapshots below path, oldest first, each with `known`: whether it has the schema version that this reader is for. Broken lines are left out."""
+    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path)
+    good = F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{")
+    head = F.from_json("value", "generated_at string, schema_version int")
+    s = t.filter(good).select(head.alias("h"), F.col("value").alias("snapshot")).select(F.col("h.generated_at").alias("generated_at"), F.coalesce(F.col("h.schema_version") == version, F.lit(False)).alias("known"), "snapshot")
+    return s.orderBy(F.col("generated_at").asc_nulls_first(), "snapshot")

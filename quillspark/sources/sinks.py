@@ -76,3 +76,19 @@ def write_snapshot(row: DataFrame, path: str, start: str, end: str, generated: s
     to = f"{path}/{start}_{end}_{generated}"
     row.coalesce(1).write.mode("error").json(to)
     return to
+
+
+def mark_processed(keys: DataFrame, path: str, at: Column) -> None:
+    """Append (key, processed_at) of what has been worked off; a key may be marked again, readers take keys as a set. Null keys are left out."""
+    keys.select("key").filter("key is not null").distinct().withColumn("processed_at", at).write.mode("append").parquet(path)
+
+
+def unprocessed(keys: DataFrame, path: str) -> DataFrame:
+    """The rows of keys (key, ...) that no marker below path names; all of them where nothing has been marked yet."""
+    try:
+        done = keys.sparkSession.read.parquet(path).select("key").distinct()
+    except Exception as e:  # no marker yet
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
+            raise
+        return keys
+    return keys.join(done, "key", "left_anti")

@@ -13,7 +13,7 @@ def test_entry_gives_rows(spark):
     assert entry.entry(spark).count() == 1
 
 
-@pytest.mark.parametrize("name", ["a2_user_experience", "j1_nearest_event", "w1_failure_streaks", "m7_expiry", "s23_sections", "s2_threads"])
+@pytest.mark.parametrize("name", ["a2_user_experience", "j1_nearest_event", "w1_failure_streaks", "m7_expiry", "s23_sections", "s2_threads", "p6_found", "a13_memo_age", "s38_heading_sets", "v13_sidecars"])
 def test_against_sql(spark, name):
     import os
 

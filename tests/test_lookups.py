@@ -83,3 +83,26 @@ def test_first_place_and_sidecars(spark, tmp_path):
     spark.createDataFrame([(1, 1, "slack", "1", None, None, None, None, None, None, None), (2, 1, "slack", "9", None, None, None, None, None, None, None)], TABLES["harvest_items"]).write.parquet(f"{d}/harvest_items.parquet")
     assert sorted(map(tuple, lookups.pr26_first_place(spark, d).collect())) == [("accepted", 1, 0), ("archive", 2, 2), ("arriving", 1, 0)]
     assert sorted(map(tuple, lookups.v13_sidecars(spark, d).collect())) == [("note", "elsewhere", 1), ("slack", "matched", 1)]
+
+
+def test_pinned_topics_and_snapshots(spark, tmp_path):
+    from quillspark.sources import readers
+
+    (tmp_path / "topics.txt").write_text("# pinned\n\n  alpha \nbeta\nalpha\n", encoding="utf-8")
+    assert sorted(r[0] for r in readers.pinned_topics(spark, str(tmp_path / "topics.txt")).collect()) == ["alpha", "beta"]
+    folder = tmp_path / "snapshots"
+    folder.mkdir()
+    (folder / "b.json").write_text('{"generated_at": "2026-02-01", "schema_version": 1}\n', encoding="utf-8")
+    (folder / "a.json").write_text('{"generated_at": "2026-03-01", "schema_version": 2}\n{broken\n', encoding="utf-8")
+    assert [(r.generated_at, r.known) for r in readers.snapshots(spark, str(folder)).collect()] == [("2026-02-01", True), ("2026-03-01", False)]
+
+
+def test_processed_markers(spark, tmp_path):
+    from quillspark.sources import sinks
+
+    keys = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4)], "key string, n int")
+    path = str(tmp_path / "done")
+    assert sinks.unprocessed(keys, path).count() == 4
+    sinks.mark_processed(keys.filter("key = 'b' or key is null"), path, F.lit("2026-01-01").cast("timestamp"))
+    sinks.mark_processed(keys.filter("key = 'b'"), path, F.lit("2026-01-02").cast("timestamp"))
+    assert sorted(r.n for r in sinks.unprocessed(keys, path).collect()) == [1, 4]
