@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm.transcripts import learn_fillers, speaker_turns, train, training_sample
+from quillspark.llm.transcripts import learn, speaker_turns
 from quillspark.sources.tables import kind_key, table
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "raw_items").filter(kind_key("source_kind").isin("gmeet_transcript", "transcript_file")).select("raw_id", "content")
-    return speaker_turns(items, "raw_id", "content", train(training_sample(items, "content"), learn_fillers(items, "content")))
+    return speaker_turns(items, "raw_id", "content", learn(items, "content"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

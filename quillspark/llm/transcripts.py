@@ -20,11 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.boosting import BoostedTrees
+from quillspark.llm.boosting import BoostedTrees, binned
+from quillspark.plans.session import materialise
 from quillspark.sources.tables import hash_sample
 
-#: Transcripts that the boundary model is fitted on at most, and the characters read of each; everything else covers all of them.
+#: Bounds of training_sample alone, which no query uses: they learn from all transcripts.
 TRAIN_TRANSCRIPTS, TRAIN_CHARS = 1500, 200_000
+#: Bins of a feature: cases that share all bins are one row of the fit, so its rows grow far slower than the cases.
+BINS, FEATURES = 16, 12
 #: A token is judged if it is set off so many times and in such a share of its uses; from SURE on it is an example of a filler, up to DOUBTFUL of
 #: a word. Both classes must have LEAST_EXAMPLES, else the share between them decides.
 LEAST_SET_OFF, LEAST_SHARE, DOUBTFUL, SURE, LEAST_EXAMPLES, BETWEEN = 3, 0.005, 0.06, 0.3, 8, 0.12
@@ -198,7 +201,7 @@ def features(t: Transcript, odds: np.ndarray) -> np.ndarray:
     times = Counter(x for x in names if x)
     n = max(1, len(names))
     certain = sum(g.certain for g in t.segments) / n
-    out = np.zeros((len(names), 12))
+    out = np.zeros((len(names), FEATURES))
     last = ""
     for i, g in enumerate(t.segments):
         before = t.segments[i - 1] if i else None
@@ -225,19 +228,23 @@ class Model:
     fillers: dict[str, frozenset[str]]
 
 
+_NO_CASES = np.zeros((2, FEATURES)), np.array([0.0, 1.0])
 _SET_OFF = re.compile(r"(?<![\w'’-])([^\W\d_]+(?:[-'’][^\W\d_]+)*)(\.\.\.|…|—| --)")
 _TOKEN = re.compile(r"(?<![\w'’-])[^\W\d_]+(?:[-'’][^\W\d_]+)*(?![\w'’-])")
 
 
-def token_uses(items: DataFrame, text_col: str) -> DataFrame:
-    """(language, token, n, off, first, alone): over all transcripts, how often a token is used, set off, opens a segment and stands alone in it."""
+def corpus_counts(items: DataFrame, text_col: str) -> DataFrame:
+    """Over all transcripts, in one pass: per (language, token) how often it is used, set off, opens a segment and stands alone in it
+    (n, off, first, alone), and per bucket of words how often they stand in labels and before a colon within speech (n, off)."""
     rows = items.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             c: dict[tuple[str, str], list[int]] = {}
+            labels: dict[int, list[int]] = {}
             for content in batch["text"]:
                 t = parse(content)
+                _count_labels(t, labels)
                 for g in t.segments:
                     said = g.text if g.certain or not g.label else g.text[len(g.label) :].lstrip(" :-–—")
                     words = [m.group().lower() for m in _TOKEN.finditer(g.text)]
@@ -249,10 +256,11 @@ def token_uses(items: DataFrame, text_col: str) -> DataFrame:
                         x = c.setdefault((t.language, opening.group().lower()), [0, 0, 0, 0])
                         x[2] += 1
                         x[3] += _EDGE.sub("", said) == opening.group()
-            yield pd.DataFrame([(*k, *v) for k, v in c.items()], columns=["language", "token", "n", "off", "first", "alone"])
+            out = [(*k, None, *v) for k, v in c.items()] + [(None, None, k, *v, 0, 0) for k, v in labels.items()]
+            yield pd.DataFrame(out, columns=["language", "token", "bucket", "n", "off", "first", "alone"]).astype({"bucket": "Int32"})
 
-    counted = rows.mapInPandas(go, "language string, token string, n long, off long, first long, alone long")
-    return counted.groupBy("language", "token").agg(*[F.sum(x).alias(x) for x in ("n", "off", "first", "alone")])
+    counted = rows.mapInPandas(go, "language string, token string, bucket int, n long, off long, first long, alone long")
+    return counted.groupBy("language", "token", "bucket").agg(*[F.sum(x).alias(x) for x in ("n", "off", "first", "alone")])
 
 
 def classify_tokens(uses: list[tuple[str, str, int, int, int, int]]) -> dict[str, frozenset[str]]:
@@ -283,57 +291,124 @@ def classify_tokens(uses: list[tuple[str, str, int, int, int, int]]) -> dict[str
 
 
 def learn_fillers(items: DataFrame, text_col: str) -> dict[str, frozenset[str]]:
-    """Fillers per language, from the uses of all tokens in all transcripts; only tokens that are set off often enough come back."""
-    often = token_uses(items, text_col).filter((F.col("off") >= LEAST_SET_OFF) & (F.col("off") >= LEAST_SHARE * F.col("n")))
-    return classify_tokens(sorted(tuple(r) for r in often.collect()))
+    """Fillers per language, from the uses of all tokens in all transcripts."""
+    return _fillers(corpus_counts(items, text_col))
+
+
+def _fillers(counts: DataFrame) -> dict[str, frozenset[str]]:
+    """Only tokens that are set off often enough come back."""
+    often = counts.filter("bucket is null").filter((F.col("off") >= LEAST_SET_OFF) & (F.col("off") >= LEAST_SHARE * F.col("n")))
+    return classify_tokens(sorted(tuple(r) for r in often.drop("bucket").collect()))
+
+
+def _count_labels(t: Transcript, counts: dict[int, list[int]]) -> None:
+    """Add to the numbers of a bucket how often its words stand in labels, and how often before a colon within speech."""
+    for x in t.present:
+        counts.setdefault(_bucket(x), [0, 0])[0] += 1
+    for g in t.segments:
+        if g.certain and g.label:
+            counts.setdefault(_bucket("speaker" if (x := speaker_name(g.label)).startswith("speaker ") else x), [0, 0])[0] += 1
+            counts.setdefault(_bucket(re.split(r"[\s,]+", g.label.strip())[0].lower().strip(".")), [0, 0])[0] += 1
+            if ":" not in g.text:
+                continue
+            for s in re.split(r"(?<=[.!?])\s+", _REMARK.sub(" ", g.text)):
+                if m := _LABELLED.match(s):
+                    counts.setdefault(_bucket(speaker_name(m[1])), [0, 0])[1] += 1
+                    counts.setdefault(_bucket(m[1].split()[0].lower()), [0, 0])[1] += 1
+
+
+def _odds(counts: dict[int, list[int]]) -> np.ndarray:
+    out = np.zeros(BUCKETS)
+    for k, (label, content) in counts.items():
+        out[k] = np.log((1 + label) / (1 + content))
+    return out
+
+
+def _odds_without(t: Transcript, counts: dict[int, list[int]], odds: np.ndarray) -> np.ndarray:
+    """The odds as they were without this transcript: a name that it alone has must look new to the fit, as it will in other transcripts."""
+    own: dict[int, list[int]] = {}
+    _count_labels(t, own)
+    out = odds.copy()
+    for k, (label, content) in own.items():
+        out[k] = np.log((1 + counts[k][0] - label) / (1 + counts[k][1] - content))
+    return out
+
+
+def cases(t: Transcript, counts: dict[int, list[int]], odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features and answers of a transcript of those counted, if its labels are certain. They are also written as `Label: text` lines,
+    which with cut and unlabelled speech gives cases for every layout."""
+    sure = [g for g in t.segments if g.certain and g.label and g.text]
+    if len(sure) < 3:
+        return np.zeros((0, FEATURES)), np.zeros(0)
+    odds = _odds_without(t, counts, odds)
+    plain = Transcript([], t.present, t.language)
+    y, last = [], ""
+    for i, g in enumerate(sure):
+        name = speaker_name(g.label)
+        bare = name == last and i % 2 == 0
+        said = g.text[:1].lower() + g.text[1:] if i % 3 == 2 else g.text  # speech often begins in lower case
+        plain.segments.append(Segment(g.start, g.end, None, False, said if bare else f"{g.label}: {said}"))
+        y.append(name != last)
+        last = name
+        parts = re.split(r"(?<=[.!?])\s+", g.text, maxsplit=1)
+        if len(parts) == 2:
+            plain.segments[-1].text = plain.segments[-1].text[: -len(parts[1])].rstrip()
+            plain.segments.append(Segment(g.start, g.end, None, False, parts[1]))
+            y.append(False)
+        if i % 5 in (1, 2):  # speech may break off, or end in a remark
+            plain.segments[-1].text = plain.segments[-1].text[:-4] if i % 2 else plain.segments[-1].text + " [noise]"
+    for g in plain.segments:
+        if m := _LABELLED.match(g.text):
+            g.label = m[1]
+    as_is = [i == 0 or speaker_name(a.label) != speaker_name(sure[i - 1].label) for i, a in enumerate(sure)]
+    x = np.concatenate([features(plain, odds), features(Transcript(sure, t.present, t.language), odds)])
+    return x, np.array(y + as_is, dtype=float)
 
 
 def train(contents: list[str], fillers: dict[str, frozenset[str]]) -> Model:
-    """Fit the boundary model on transcripts. Labels of voice tags and label lines are certain; they are also written
-    as `Label: text` lines, which with cut and unlabelled speech gives cases for every layout."""
+    """Fit the boundary model on transcripts at hand; learn() does it on all of a table."""
     parsed = [parse(c) for c in contents if c]
-    label, content = np.ones(BUCKETS), np.ones(BUCKETS)
+    counts: dict[int, list[int]] = {}
     for t in parsed:
-        for x in t.present:
-            label[_bucket(x)] += 1
-        for g in t.segments:
-            if g.certain and g.label:
-                label[_bucket("speaker" if (x := speaker_name(g.label)).startswith("speaker ") else x)] += 1
-                label[_bucket(re.split(r"[\s,]+", g.label.strip())[0].lower().strip("."))] += 1
-                for s in re.split(r"(?<=[.!?])\s+", _REMARK.sub(" ", g.text)):
-                    if m := _LABELLED.match(s):
-                        content[_bucket(speaker_name(m[1]))] += 1
-                        content[_bucket(m[1].split()[0].lower())] += 1
-    odds = np.log(label / content)
-    xs, ys = [], []
-    for t in parsed:
-        sure = [g for g in t.segments if g.certain and g.label and g.text]
-        if len(sure) < 3:
-            continue
-        plain = Transcript([], t.present, t.language)
-        y, last = [], ""
-        for i, g in enumerate(sure):
-            name = speaker_name(g.label)
-            bare = name == last and i % 2 == 0
-            said = g.text[:1].lower() + g.text[1:] if i % 3 == 2 else g.text  # speech often begins in lower case
-            plain.segments.append(Segment(g.start, g.end, None, False, said if bare else f"{g.label}: {said}"))
-            y.append(name != last)
-            last = name
-            parts = re.split(r"(?<=[.!?])\s+", g.text, maxsplit=1)
-            if len(parts) == 2:
-                plain.segments[-1].text = plain.segments[-1].text[: -len(parts[1])].rstrip()
-                plain.segments.append(Segment(g.start, g.end, None, False, parts[1]))
-                y.append(False)
-            if i % 5 in (1, 2):  # speech may break off, or end in a remark
-                plain.segments[-1].text = plain.segments[-1].text[:-4] if i % 2 else plain.segments[-1].text + " [noise]"
-        for g in plain.segments:
-            if m := _LABELLED.match(g.text):
-                g.label = m[1]
-        for v in (plain, Transcript(sure, t.present, t.language)):
-            xs.append(features(v, odds))
-            ys.append(np.array(y if v is plain else [i == 0 or speaker_name(a.label) != speaker_name(sure[i - 1].label) for i, a in enumerate(sure)]))
-    x, y = (np.concatenate(xs), np.concatenate(ys).astype(float)) if xs else (np.zeros((2, 12)), np.array([0.0, 1.0]))
-    return Model(odds, BoostedTrees().fit(x, y), fillers)
+        _count_labels(t, counts)
+    odds = _odds(counts)
+    xs, ys = zip(*[cases(t, counts, odds) for t in parsed]) if parsed else ((), ())
+    x, y = (np.concatenate(xs), np.concatenate(ys)) if sum(map(len, ys)) else _NO_CASES
+    return Model(odds, BoostedTrees(bins=BINS).fit(x, y), fillers)
+
+
+def learn(items: DataFrame, text_col: str) -> Model:
+    """The model from all transcripts, whole; copies of one text count once.
+
+    The labels' odds are counts over the corpus, at most BUCKETS rows. The trees are fitted on every case: the edges of the bins are exact
+    percentiles of all cases, and what reaches the driver is a row per distinct combination of bins with its number of cases.
+    """
+    texts = materialise(items.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).distinct(), "p7-texts")
+    counted = materialise(corpus_counts(texts, "text"), "p7-counts")
+    counts = {r.bucket: [r.n, r.off] for r in counted.filter("bucket is not null").collect()}
+    odds, trees = _odds(counts), BoostedTrees(bins=BINS)
+    names = [f"x{j}" for j in range(FEATURES)]
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for s in range(0, len(batch), 256):
+                xs, ys = zip(*[cases(parse(x), counts, odds) for x in batch["text"].iloc[s : s + 256]])
+                yield pd.DataFrame(np.concatenate(xs), columns=names).assign(y=np.concatenate(ys).astype(np.int64))
+
+    found = materialise(texts.mapInPandas(go, ", ".join(f"{x} double" for x in names) + ", y long"), "p7-cases")
+    cuts = found.agg(*[F.percentile(x, [float(p) for p in trees.shares()]).alias(x) for x in names]).first()
+    if cuts[0] is None:
+        return Model(odds, trees.fit(*_NO_CASES), _fillers(counted))
+    edges = [np.unique(c) for c in cuts]
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:  # five bits a feature
+            bins = binned(batch[names].to_numpy(), edges).astype(np.int64)
+            yield pd.DataFrame({"bins": (bins << (5 * np.arange(FEATURES))).sum(1), "y": batch["y"]})
+
+    rows = found.mapInPandas(pack, "bins long, y long").groupBy("bins").agg(F.count("*").alias("n"), F.sum("y").alias("y")).toPandas().sort_values("bins")
+    bins = (rows["bins"].to_numpy()[:, None] >> (5 * np.arange(FEATURES))) & 31
+    return Model(odds, trees.fit_counted(edges, bins, rows["n"].to_numpy(float), rows["y"].to_numpy(float)), _fillers(counted))
 
 
 def clean_words(text: str, fillers: frozenset[str]) -> list[str]:
@@ -371,7 +446,7 @@ def turns(t: Transcript, boundary: np.ndarray, fillers: frozenset[str]) -> list[
 
 
 def training_sample(items: DataFrame, text_col: str, at_most: int = TRAIN_TRANSCRIPTS) -> list[str]:
-    """At most `at_most` different transcripts, chosen by a hash of their text, the same ones on every run; TRAIN_CHARS of each."""
+    """For trials by hand: at most `at_most` different transcripts, chosen by a hash of their text, the same ones on every run; TRAIN_CHARS of each."""
     texts = items.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     chosen = hash_sample(texts.select("h").distinct(), F.col("h"), at_most // 2)  # copies of one text count once
     some = texts.join(F.broadcast(chosen), "h").groupBy("h").agg(F.first(F.substring("text", 1, TRAIN_CHARS)).alias("text"))  # at most `at_most` hashes

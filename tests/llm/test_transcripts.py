@@ -1,8 +1,10 @@
+from zlib import crc32
+
 import numpy as np
 import pytest
 
 from quillspark.llm.boosting import BoostedTrees
-from quillspark.llm.transcripts import classify_tokens, clean_words, features, parse, speaker_name, learn_fillers, speaker_turns, train, training_sample, turns
+from quillspark.llm.transcripts import classify_tokens, clean_words, features, learn, parse, speaker_name, learn_fillers, speaker_turns, train, training_sample, turns
 
 EN = frozenset(["um", "uh", "mhm", "er"])
 
@@ -88,3 +90,32 @@ def test_sample_counts_copies_once(spark):
     rows = [("same text " * 5,)] * 300 + [(f"text {k}",) for k in range(20)]
     got = training_sample(spark.createDataFrame(rows, "content string"), "content", 60)
     assert len(got) == len(set(got)) == 21
+
+
+def test_all_transcripts_are_learned_from(spark):
+    # each name stands in one text of 1,600, among them those that a sample of 1,500 leaves out: all must be known, and a name
+    # that no certain label has is still a name
+    a, b = "abcdefghijklmnopqrstuvwxyz"[:20], "aeiou"
+    names = [f"{x.upper()}{y}{z}{w}n" for x in a for y in b for z in a[:16] for w in b[:1]]
+    texts = []
+    for k, name in enumerate(names):  # words in speech differ from labels in nothing but where else they stand
+        said = ["We should ship the build. Decision: Keep the old one.", "The vendor was late. Action: Call them today."]
+        cues = [f"00:00:00.000 --> 00:00:00.000\n<v {name if i % 2 else names[k - 1]}>{said[i % 2]}</v>\n" for i in range(6)]
+        texts.append(("WEBVTT\n\n" + "\n".join(cues),))
+    df = spark.createDataFrame(texts, "content string")
+    assert df.distinct().count() == 1600
+    model = learn(df.unionAll(df.limit(40)), "content")
+    bucket = lambda x: crc32(x.encode()) % len(model.odds)
+    assert min(model.odds[bucket(x.lower())] for x in names) > 0 > model.odds[bucket("decision")]
+    plain = "Sync\n2026-01-01 10:00 UTC\n\nXaveria: Hello there.\nDecision: We go.\nYolanda: Yes we do.\nXaveria: And more.\n"
+    assert [r[1] for r in run(model, plain)] == ["xaveria", "yolanda", "xaveria"]
+
+
+def test_learning_from_a_table_is_learning_from_its_texts(spark, model):
+    df = spark.createDataFrame([(t,) for t in sample()] + [(None,), ("",)], "content string")
+    got = learn(df, "content")
+    want = train(sorted(set(sample())), got.fillers)
+    assert np.array_equal(got.odds, want.odds)
+    x = features(parse(sample()[0]), got.odds)
+    assert np.allclose(got.trees.probability(x), want.trees.probability(x))
+    assert learn(df.filter("content is null"), "content").trees.probability(np.zeros((1, 12))).shape == (1,)
