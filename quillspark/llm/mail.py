@@ -13,13 +13,15 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from hashlib import blake2b
+from operator import and_
 from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.plans.session import materialise
 
@@ -345,20 +347,44 @@ def thread_of(content: str) -> str | None:
     return _REPLY.sub("", m[1].strip()).strip().lower() or None if m else None
 
 
-def _sample_key(text: str) -> int:
-    """The least hash of a text's word triples: texts that overlap nearly whole nearly always share it."""
-    return min(crc32(" ".join(x).encode()) for x in _shingles(text))
+#: Share of a unit's word triples that an ancestor must have.
+OVERLAP = 0.9
 
 
-def ancestor_lines(mails: DataFrame, id_col: str, text_col: str, at_col: str) -> DataFrame:
-    """(id, line_no) of the lines whose unit repeats one of an earlier mail of the same thread.
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _marks(thread: pd.Series, unit: pd.Series) -> pd.Series:
+    """A number per different word triple of a unit within its thread; triples that share one by chance only add candidates."""
+    return pd.Series([list({(crc32(t.encode()) << 31) ^ crc32(" ".join(x).encode()) for x in _shingles(u)}) for t, u in zip(thread, unit)])
+
+
+@F.pandas_udf(T.BooleanType())
+def _repeats(unit: pd.Series, ancestor: pd.Series) -> pd.Series:
+    return pd.Series([Dictionary([a]).repeats(u, overlap=OVERLAP) for u, a in zip(unit, ancestor)], dtype=bool)
+
+
+def _earliest(mails: DataFrame) -> DataFrame:
+    """Of the mails o (at, same, id) of each class `cls` five at most: whichever mail is left out by its content and its id, the earliest of
+    the others is among them."""
+    differ = lambda k, x: F.col(f"o.{k}") != F.col(f"{x}.{k}")
+    least = lambda *c: F.min(F.when(reduce(and_, c), F.col("o")))
+    one = mails.groupBy("cls").agg(F.min("o").alias("e"))
+    two = mails.join(one.hint("merge"), "cls").groupBy("cls").agg(F.min("e").alias("e"), least(differ("same", "e")).alias("f"), least(differ("id", "e")).alias("g"))
+    more = [least(differ("same", "e"), differ("id", "f")), least(differ("id", "e"), differ("same", "g"))]
+    all_ = mails.join(two.hint("merge"), "cls").groupBy("cls").agg(*[F.min(x).alias(x) for x in "efg"], *[c.alias(f"m{k}") for k, c in enumerate(more)])
+    return all_.select("cls", F.explode(F.array_distinct(F.array("e", "f", "g", "m0", "m1"))).alias("o")).filter("o is not null")
 
-    Each unit of LEAST_UNIT characters goes by its thread and a hash that texts overlapping it share. Of each such pair only the earliest
-    unit is kept, so a thread with a third of all mails is an aggregation, and every later unit meets one ancestor at most. The
-    same test as for quotations decides. Deliveries of one mail (equal id or equal content) are no ancestors of each other; without
-    time or subject there are none.
+
+def ancestor_lines(mails: DataFrame, id_col: str, text_col: str, at_col: str) -> DataFrame:
+    """(id, line_no) of the lines whose unit repeats one of an earlier mail of the same thread, whichever of them that is.
+
+    Equal units of a thread are one class, of which the five mails of `_earliest` stand for all, so a thread with a third of all mails
+    is aggregated. A class that repeats another has all but a tenth of its word triples: one of any tenth and one more is among them, and the
+    rarest of the thread are taken. The earliest class that has such a triple is tried first; only what it doesn't
+    settle meets all others. The same test as for quotations decides. Deliveries of one mail (equal id or equal content) are no
+    ancestors of each other and count from the first of them (of equal content, then of equal id); without time or
+    subject there are none.
     """
-    rows = mails.filter(F.col(text_col).isNotNull() & F.col(at_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.unix_micros(at_col).alias("at"))
+    rows = mails.filter(F.col(text_col).isNotNull() & F.col(at_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.unix_micros(at_col).alias("at"))
     id_type = rows.schema["id"].dataType.simpleString()
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -374,19 +400,44 @@ def ancestor_lines(mails: DataFrame, id_col: str, text_col: str, at_col: str) ->
                 for r in units(lines, kind):
                     t = re.sub(r"\s+", " ", " ".join(lines[k] for k in r)).strip()
                     if len(t) >= LEAST_UNIT:
-                        out.append((thread, _sample_key(t), at, same, i, r[0] + 1, r[-1] + 1, t))
-            yield pd.DataFrame(out, columns=["thread", "key", "at", "same", "id", "first", "last", "unit"])
-
-    found = rows.mapInPandas(split, f"thread string, key long, at long, same long, id {id_type}, first int, last int, unit string")
-    found = materialise(found.withColumn("thread", F.xxhash64("thread")), "p1-units")
-    earliest = found.groupBy("thread", "key").agg(F.min(F.struct("at", "same", "id", "unit")).alias("a"), F.count("*").alias("n")).filter("n > 1").select("thread", "key", "a")
-    later = found.join(earliest.hint("merge"), ["thread", "key"]).filter("at > a.at and same <> a.same and id <> a.id")
-
-    @F.pandas_udf("boolean")
-    def repeats(unit: pd.Series, ancestor: pd.Series) -> pd.Series:
-        return pd.Series([Dictionary([a]).repeats(u, overlap=0.9) for u, a in zip(unit, ancestor)], dtype=bool)
-
-    return later.filter(repeats("unit", "a.unit")).select(F.col("id").alias(id_col), F.explode(F.sequence("first", "last")).alias("line_no")).distinct()
+                        out.append((thread, at, same, i, r[0] + 1, r[-1] + 1, t))
+            yield pd.DataFrame(out, columns=["thread", "at", "same", "id", "first", "last", "unit"])
+
+    found = materialise(rows.mapInPandas(split, f"thread string, at long, same long, id {id_type}, first int, last int, unit string"), "p1-units")
+    shared = found.groupBy("thread").agg((F.min("same") < F.max("same")).alias("a"), (F.min("id") < F.max("id")).alias("b"), (F.min("at") < F.max("at")).alias("c")).filter("a and b and c")
+    live = found.join(shared.select("thread").hint("merge"), "thread", "left_semi").withColumn("cls", F.unhex(F.md5(F.concat_ws("\n", "thread", "unit"))))
+    sent = live.select("same", "id", "at").distinct()
+    sent = sent.select("same", "id").distinct().join(sent.groupBy("same").agg(F.min("at").alias("at")).hint("merge"), "same")
+    sent = sent.join(sent.groupBy("id").agg(F.min("at").alias("sent")).hint("merge"), "id").select("same", "id", F.col("sent").alias("at"))
+    live = live.drop("at").join(sent.hint("merge"), ["same", "id"])
+    live = materialise(live.select("cls", F.struct("at", "same", "id").alias("o"), "first", "last", "thread", "unit"), "p1-live")
+    places = live.select("cls", "o", "first", "last").distinct()
+    classes = live.groupBy("cls").agg(F.first("thread").alias("thread"), F.first("unit").alias("unit"), F.min("o.at").alias("since"), F.max("o.at").alias("until"))
+    classes = materialise(classes, "p1-classes")
+    marked = materialise(classes.select("cls", "since", "until", F.explode(_marks("thread", "unit")).alias("mark")), "p1-marks")
+    oldest = materialise(_earliest(live.select("cls", "o").distinct()), "p1-oldest")
+
+    def repeated(pairs: DataFrame) -> DataFrame:
+        """The places of units of a class u that repeat a class a."""
+        text = classes.select("cls", "unit")
+        p = pairs.distinct().join(text.withColumnsRenamed({"cls": "u", "unit": "uu"}).hint("merge"), "u").join(text.withColumnsRenamed({"cls": "a", "unit": "ua"}).hint("merge"), "a")
+        p = p.filter(_repeats("uu", "ua")).select("u", F.col("a").alias("cls"))
+        before = _earliest(p.join(oldest.hint("merge"), "cls").select(F.col("u").alias("cls"), "o").distinct()).withColumnRenamed("o", "b")
+        return places.join(before.hint("merge"), "cls").filter("b.at < o.at and b.same <> o.same and b.id <> o.id").select(*places.columns).distinct()
+
+    counted = marked.groupBy("mark").agg(F.count("*").alias("n"), F.min(F.struct("since", "cls")).alias("first"))
+    rarest = marked.join(counted.hint("merge"), "mark").groupBy("cls", "until").agg(F.array_sort(F.collect_list(F.struct("n", "mark", "first"))).alias("m"))
+    few = F.floor(F.size("m") * (1 - OVERLAP) + 1e-6) + 1
+    probes = rarest.select(F.col("cls").alias("u"), "until", F.explode(F.slice("m", F.lit(1), few.cast("int"))).alias("p")).select("u", "until", "p.*").filter("n > 1")
+    probes = materialise(probes, "p1-probes")
+    itself = classes.filter("since < until").select(F.col("cls").alias("u"), F.col("cls").alias("a"))
+    old = probes.filter("first.since < until and first.cls <> u").select("u", F.col("first.cls").alias("a"))
+    settled = materialise(repeated(itself.unionByName(old)), "p1-settled")
+    open_ = places.join(settled.hint("merge"), places.columns, "left_anti").select(F.col("cls").alias("u")).distinct()
+    rest = probes.join(open_.hint("merge"), "u", "left_semi").select("u", "until", "mark").join(marked.select(F.col("cls").alias("a"), "since", "mark").hint("merge"), "mark")
+    rest = rest.filter("a <> u and since < until").select("u", "a")
+    both = settled.unionByName(repeated(rest))
+    return both.select(F.col("o.id").alias(id_col), F.explode(F.sequence("first", "last")).alias("line_no")).distinct()
 
 
 @lru_cache(maxsize=2)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm.mail import Dictionary, SEED_CLOSINGS, learn_closings, new_lines, shape, written_lines
+from quillspark.llm.mail import Dictionary, SEED_CLOSINGS, ancestor_lines, learn_closings, new_lines, shape, thread_of, written_lines
 
 D = Dictionary([shape(x) for x in SEED_CLOSINGS])
 
@@ -90,3 +90,36 @@ def test_long_closings_are_learned(spark):
     df = spark.createDataFrame(rows, "raw_id int, content string")
     learned = learn_closings(df, "content")
     assert foot in learned and written_lines(df, "raw_id", "content", learned).count() == 40
+
+
+def test_every_earlier_unit_of_a_thread_is_an_ancestor(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    rng = random.Random(8)
+    vocabulary = [a + b for a in ("ka", "lo", "mi", "ne", "po", "re", "su", "ti") for b in ("ran", "sul", "tim", "vox", "wet", "xal")]
+    base = [[rng.choice(vocabulary) for _ in range(n)] for n in (12, 25, 40, 41)]
+    mails = []
+    for k in range(240):  # edits pile up: a unit often repeats another than the first that shares a triple with it
+        words = list(rng.choice(base[-30:]))
+        for _ in range(rng.choice([0, 1, 1, 2, 4])):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        base.append(words)
+        body = " ".join(words) if k % 3 else f"{' '.join(words)}\n\n{' '.join(rng.choice(base))}"
+        mails.append((f"m{k if k % 7 else k // 2}", f"From: A B <a@x.test>\nTo: c\nSubject: {rng.choice(['Plan', 'Other'])}\n\n{body}\n", datetime(2026, 1, 1) + timedelta(hours=rng.randrange(100))))
+    mails += rng.sample(mails, 20) + [(f"again{k}", c, at + timedelta(hours=9)) for k, (_, c, at) in enumerate(rng.sample(mails, 30))]
+    first = {c: min(t for _, x, t in mails if x == c) for _, c, _ in mails}  # a mail delivered again counts from its first delivery
+    sent = {i: min(first[c] for x, c, _ in mails if x == i) for i, _, _ in mails}
+    every = [(i, c, sent[i], thread_of(c), n, line) for i, c, _ in mails for n, line in enumerate(c.split("\n"), 1) if n >= 5 and len(line) >= 40]
+    test, want = {}, set()
+    for i, c, at, thread, n, t in every:
+        for i2, c2, at2, thread2, _, t2 in every:
+            if thread == thread2 and at2 < at and c != c2 and i != i2:
+                if (t, t2) not in test:
+                    test[t, t2] = Dictionary([t2]).repeats(t, overlap=0.9)
+                if test[t, t2]:
+                    want.add((i, n))
+                    break
+    df = spark.createDataFrame(mails, "raw_id string, content string, at timestamp")
+    got = {(r.raw_id, r.line_no) for r in ancestor_lines(df, "raw_id", "content", "at").collect()}
+    assert len(want) > 40 and got == want
